@@ -83,3 +83,17 @@ def split_counts(flagged: DataFrame) -> DataFrame:
         F.count_distinct("department_id").alias("n_departments"),
         F.count_distinct("category_id").alias("n_categories"),
     )
+
+
+def label_lists(rows: DataFrame) -> DataFrame:
+    """``kind, id, n``: the distinct departments and categories with their rows, in order of id."""
+    labels = F.array(
+        *[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("id")) for k in ("department", "category")]
+    )
+    return (
+        rows.select(F.explode(labels).alias("x"))
+        .where(F.col("x.id").isNotNull())
+        .groupBy("x.kind", "x.id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy("kind", "id")
+    )

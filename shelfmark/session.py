@@ -57,6 +57,15 @@ def write_through(df: DataFrame, name: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan out evenly when it has fewer partitions than there are cores.
+
+    Only one or two small files come to this; a scan of many files is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Mark a written table for broadcast when its measured content is below ``limit`` bytes.
 
