@@ -1,0 +1,121 @@
+import numpy as np
+import pytest
+
+from shelfmark.operators import neighbours, prior
+from shelfmark.session import write_through
+
+VECTOR = "row_id long, indices array<int>, weights array<double>"
+DEPARTMENTS = (1, 2, 3)
+
+
+def unit(idx, raw):
+    w = np.asarray(raw, float)
+    return [int(i) for i in idx], [float(x) for x in w / np.sqrt((w * w).sum())]
+
+
+def random_vectors(rng, ids, n_terms, size):
+    """Term 59 is in every second row, low positions are rare."""
+    out = []
+    for i in ids:
+        idx = np.unique((rng.random(size) ** 0.4 * n_terms).astype(int))
+        if rng.random() < 0.5:
+            idx = np.unique(np.append(idx, n_terms - 1))
+        out.append((int(i), *unit(idx, rng.random(len(idx)) + 0.05)))
+    return out
+
+
+def dense(vectors, n_terms):
+    m = np.zeros((len(vectors), n_terms))
+    for k, (_, idx, w) in enumerate(vectors):
+        m[k, idx] = w
+    return m
+
+
+def brute(queries, train, labels, p, n_terms, factor=None):
+    cosine = dense(queries, n_terms) @ dense(train, n_terms).T
+    out = {}
+    for k, (q, _, _) in enumerate(queries):
+        score = np.array([cosine[k, j] * p[q][labels[t][1]] * (factor(q, labels[t][0]) if factor else 1.0)
+                          for j, (t, _, _) in enumerate(train)])
+        out[q] = labels[train[int(np.argmax(np.round(score, 12)))][0]][0]
+    return out
+
+
+def run(spark, queries, train, labels, p, all_queries=None, prior_of=None, scn=None):
+    ids = all_queries or [q[0] for q in queries]
+    label_rows = spark.createDataFrame([(t, c, d) for t, (c, d) in labels.items()], "row_id long, category_id long, department_id long")
+    index = neighbours.build_index(spark.createDataFrame(train, VECTOR), label_rows)
+    probabilities = spark.createDataFrame([(q, d, float(x)) for q in ids for d, x in p[q].items()], "row_id long, department_id long, p double")
+    got = neighbours.weighted_nearest(
+        spark.createDataFrame([(q, (scn or {}).get(q)) for q in ids], "row_id long, shop_category_name string"),
+        write_through(spark.createDataFrame(queries, VECTOR), "q"),
+        write_through(probabilities, "p"), index, prior_of,
+    ).collect()
+    assert len(got) == len(ids)
+    return {r["row_id"]: r["category_id"] for r in got}
+
+
+def softmax_rows(rng, ids):
+    out = {}
+    for q in ids:
+        e = np.exp(rng.normal(size=len(DEPARTMENTS)))
+        out[q] = dict(zip(DEPARTMENTS, e / e.sum()))
+    return out
+
+
+@pytest.mark.parametrize("seed, size", [(1, 4), (2, 12), (3, 40)])
+def test_equals_brute_force(spark, seed, size):
+    rng = np.random.default_rng(seed)
+    train = random_vectors(rng, range(300), 60, size)
+    # A third of the rows are copies of one vector with several labels.
+    train = [(t, *train[0][1:]) if t % 3 == 0 else (t, i, w) for t, i, w in train]
+    labels = {t: (int(rng.integers(100, 120)), int(rng.integers(1, 4))) for t, _, _ in train}
+    queries = random_vectors(rng, range(1000, 1080), 60, size)
+    p = softmax_rows(rng, [q[0] for q in queries])
+    assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 60)
+
+
+def test_ties_and_queries_without_a_known_term(spark):
+    train = [(3, [1], [1.0]), (7, [1], [1.0]), (9, [2], [1.0])]
+    labels = {3: (30, 1), 7: (70, 1), 9: (90, 2)}
+    p = {q: {1: 0.5, 2: 0.5} for q in (20, 21, 22, 23)}
+    queries = [(20, [1], [1.0]), (21, *unit([1, 2], [1, 1])), (23, [5], [1.0])]
+    # 20 and 21: the lowest row of equal scores; 22 has no vector, 23 no shared term: the first row.
+    assert run(spark, queries, train, labels, p, all_queries=[20, 21, 22, 23]) == {20: 30, 21: 30, 22: 30, 23: 30}
+
+
+def test_one_common_term_only(spark):
+    """Every training row holds the only term of the query; the largest weight wins."""
+    rng = np.random.default_rng(5)
+    train = [(t, *unit([t % 40, 50], [1.0, 0.2 + rng.random()])) for t in range(400)]
+    labels = {t: (t, 1 + t % 3) for t in range(400)}
+    queries = [(1000, [50], [1.0])]
+    p = {1000: {1: 0.2, 2: 0.5, 3: 0.3}}
+    assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 51)
+
+
+@pytest.mark.parametrize("beta", [0.3, 1.0])
+def test_prior(spark, beta):
+    rng = np.random.default_rng(8)
+    train = random_vectors(rng, range(200), 60, 10)
+    labels = {t: (int(rng.integers(100, 110)), int(rng.integers(1, 4))) for t in range(200)}
+    names = ["A", " B", "C / d", "-", None]
+    train_scn = {t: names[int(rng.integers(0, 5))] for t in range(200)}
+    offers = spark.createDataFrame(
+        [(t, train_scn[t], *labels[t]) for t in range(200)], "row_id long, shop_category_name string, category_id long, department_id long"
+    )
+    fitted = prior.fit_prior(offers, beta)
+    queries = random_vectors(rng, range(1000, 1060), 60, 10)
+    scn = {q[0]: ["A ", "B", "new", "-", None][q[0] % 5] for q in queries}
+    p = softmax_rows(rng, [q[0] for q in queries])
+    k = len({c for c, _ in labels.values()})
+
+    def factor(q, category):
+        name = (scn[q] or "").strip()
+        rows = [t for t in train_scn if (train_scn[t] or "").strip() == name and name not in ("", "-")]
+        if not rows:
+            return (1 / k) ** beta
+        return ((sum(labels[t][0] == category for t in rows) + 1) / (len(rows) + k)) ** beta
+
+    got = run(spark, queries, train, labels, p, prior_of=fitted, scn=scn)
+    assert got == brute(queries, train, labels, p, 60, factor)
