@@ -75,6 +75,18 @@ def test_equals_brute_force(spark, seed, size):
     assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 60)
 
 
+def test_many_shards_and_visitor_groups(spark, monkeypatch):
+    """Small limits: a hot category over several shards, shared shards, several groups of visitors."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", (16, 16))
+    monkeypatch.setattr(neighbours, "VISITORS", 8)
+    rng = np.random.default_rng(11)
+    train = random_vectors(rng, range(400), 60, 9)
+    labels = {t: (100 if t % 3 == 0 else int(rng.integers(101, 160)), 1 + t % 3 // 2) for t in range(400)}
+    queries = random_vectors(rng, range(1000, 1100), 60, 9)
+    p = softmax_rows(rng, [q[0] for q in queries])
+    assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 60)
+
+
 def test_ties_and_queries_without_a_known_term(spark):
     train = [(3, [1], [1.0]), (7, [1], [1.0]), (9, [2], [1.0])]
     labels = {3: (30, 1), 7: (70, 1), 9: (90, 2)}
