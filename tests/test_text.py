@@ -117,8 +117,8 @@ def test_composed_texts(spark):
         OFFER,
     )
     got = {r["row_id"]: r for r in texts.all_texts(offers).collect()}
-    flags = "__fw_чайник__ __bg_чайник_bosch__ __feat_volume__ __type_food__".replace(" __type_food__", "")
-    flags = flags + " __type_food__"  # "чай" is a stem of the food flag
+    # "чай" is a stem of the food flag.
+    flags = "__fw_чайник__ __bg_чайник_bosch__ __feat_volume__ __type_food__"
     title = "чайник-bosch 2 л "
     assert got[1]["category_text"] == (
         title * 4 + "дом чайники " * 2 + "чайники " * 3 + (flags + " ") * 3 + "bosch " + "мощность 2 квт "
