@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import line_dedup, pii
+from shelfmark.llm import line_dedup, mixing, pii, preference, warc
 
 
 def queries():
     return {
+        "op1_preference": preference.op1_preference,
+        "op2_mixing": mixing.op2_mixing,
         "op3_pii": pii.op3_pii,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_preference": preference.ORACLE,
+        "op2_mixing": mixing.ORACLE,
+        "op9_line_dedup": line_dedup.ORACLE,
+        "op10_warc": warc.ORACLE,
+    }
