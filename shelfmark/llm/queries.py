@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import line_dedup, mixing, near_dedup, pii, preference, warc
+from shelfmark.llm import decontaminate, line_dedup, mixing, near_dedup, pii, preference, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_preference": preference.op1_preference,
         "op2_mixing": mixing.op2_mixing,
         "op3_pii": pii.op3_pii,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_warc": warc.op10_warc,
@@ -20,6 +21,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_preference": preference.ORACLE,
         "op2_mixing": mixing.ORACLE,
+        "op4_decontaminate": decontaminate.ORACLE,
         "op7_near_dedup": near_dedup.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_warc": warc.ORACLE,
