@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontaminate, fingerprint, langid, line_dedup, mixing, near_dedup, pii, preference, warc
+from shelfmark.llm import decontaminate, fingerprint, langid, lattice, line_dedup, mixing, near_dedup, pii, preference, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_pii": pii.op3_pii,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_fingerprint": fingerprint.op5_fingerprint,
+        "op6_lattice": lattice.op6_lattice,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_language_id": langid.op8_language_id,
         "op9_line_dedup": line_dedup.op9_line_dedup,
