@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     )
     state = None
     while True:
-        large = _nearest(edges).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = _nearest(edges).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         small = _down(large.where("a != b"))
         edges = write_through(small, "links")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -6,12 +6,13 @@
    at the link limit share no band with a probability under 1e-6.
 2. Equal shingle sets become one vertex (the smallest id); buckets are the bands of vertices.  Buckets with
    the same members are kept once.
-3. Shingle sets of the vertices that share a bucket are computed from whole texts again and every bucket is
-   verified exactly: all intersections of its members come from products of 0/1 blocks.  Only the links of
-   a spanning forest leave a task, never all pairs.
-4. A bucket of more than ``BLOCK`` members is first compared with its smallest vertex, row by row.  What
-   isn't linked to that one is compared with all others in pairs of blocks, so no task holds more than two
-   blocks and a large group of real copies costs a linear number of comparisons.
+3. Shingle sets of the vertices that share a bucket are computed from whole texts again and verified
+   exactly: all intersections of a cluster of touching buckets (or of a single bucket, where the cluster is
+   very large) come from products of 0/1 blocks.  Only the links of a spanning forest leave a task, never
+   all pairs.
+4. A cluster or bucket of more than ``BLOCK`` members is first compared with its smallest vertex, row by
+   row.  What isn't linked to that one is compared with all others in pairs of blocks, so no task holds
+   more than two blocks and a large group of real copies costs a linear number of comparisons.
 5. Components take the smallest id; see ``components``.
 
 Defined cases: a null, empty or blank text has no shingles, is linked with nothing and stays; fewer than
@@ -37,7 +38,7 @@ from shelfmark.session import broadcast_if_small, write_through
 
 WIDTH, PERCENT = 5, 85
 ROWS, BANDS = 6, 30
-BLOCK = 512
+BLOCK, MOST_BLOCKS = 512, 24
 EMPTY = U(2**64 - 1)
 
 
@@ -235,6 +236,29 @@ def _hot_links(hot: DataFrame, sets: DataFrame, id_type: str) -> DataFrame:
     )
 
 
+def _links(members: DataFrame, sets: DataFrame, id_type: str) -> DataFrame:
+    """Links that connect what the exact links inside buckets connect; ``members`` is (key, members, vertex).
+
+    Vertices whose buckets touch form a cluster.  A cluster of up to ``MOST_BLOCKS`` blocks is verified as a
+    whole, so that each set travels once, or once per block; a larger one bucket by bucket.
+    """
+    first = members.groupBy("key").agg(F.min("vertex").alias("first"))
+    touching = members.join(first, "key").select(F.col("vertex").alias("a"), F.col("first").alias("b"))
+    cluster = components(touching).toDF("vertex", "cluster")
+    size = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
+    cluster = write_through(cluster.join(size, "cluster"), "near-clusters")
+    whole = cluster.where(F.col("size") <= MOST_BLOCKS * BLOCK).select(F.xxhash64("cluster").alias("key"), "size", "vertex")
+    large = cluster.where(F.col("size") > MOST_BLOCKS * BLOCK).select("vertex")
+    parts = write_through(
+        whole.unionByName(members.join(large, "vertex", "left_semi").select("key", F.col("members").alias("size"), "vertex")),
+        "near-parts",
+    )
+    small = parts.where(F.col("size") <= BLOCK).join(sets, "vertex").withColumn("part", F.lit(""))
+    return _grouped(small, id_type).unionByName(
+        _hot_links(parts.where(F.col("size") > BLOCK).select("key", "vertex"), sets, id_type)
+    )
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -264,11 +288,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .mapInArrow(_sets, f"vertex {id_type}, shingles binary"),
         "near-sets",
     )
-    small = members.where(F.col("members") <= BLOCK).join(sets, "vertex").withColumn("part", F.lit(""))
-    links = _grouped(small, id_type).unionByName(
-        _hot_links(members.where(F.col("members") > BLOCK).select("key", "vertex"), sets, id_type)
-    )
-    named = components(links)
+    named = components(_links(members, sets, id_type))
     groups_ = vertices.join(named.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
     # Only sets that several rows share or that a link touches can differ from their row's own id.
     groups_ = groups_.where("copies > 1 or component is not null").select(
@@ -288,12 +308,16 @@ def op7_near_dedup(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: one document of each group stays; of rows that repeat an id, one."""
-    found = write_through(near_groups(docs), "near-result")
-    gone = found.where("not kept").select("doc_id").distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(broadcast_if_small(write_through(gone, "near-gone"), BROADCAST_BYTES), "doc_id", "left_anti")
-    repeated = broadcast_if_small(write_through(repeated, "near-repeated"), BROADCAST_BYTES)
+    """Pipeline stage: one document of each group stays; of rows that repeat an id, one.
+
+    Rows of one id are one document here, which stays if one of its rows does.
+    """
+    found = near_groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = write_through(found.where("not kept or n > 1"), "near-result")
+    gone = found.where("not kept").select("doc_id")
+    repeated = found.where("kept").select("doc_id")
+    kept = docs.join(broadcast_if_small(gone, BROADCAST_BYTES), "doc_id", "left_anti")
+    repeated = broadcast_if_small(repeated, BROADCAST_BYTES)
     return kept.join(repeated, "doc_id", "left_anti").unionByName(
         kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     ).select(*docs.columns)
