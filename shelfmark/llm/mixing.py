@@ -64,7 +64,9 @@ def allocate(leaves: DataFrame, tree, budget: float) -> DataFrame:
         here = names[: depth + 1]
         children = nodes.groupBy(*here).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(level))
         family = children.join(given, above) if above else children.withColumn("budget", F.lit(float(budget)))
-        order = Window.partitionBy(*(above or [F.lit(0)])).orderBy(F.col("capacity") / F.col("weight"), level.name)
+        order = Window.partitionBy(*(above or [F.lit(0)])).orderBy(
+            F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).asc_nulls_last(), level.name
+        )
         open_ = F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)
         before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         after = F.sum(open_).over(order.rowsBetween(0, Window.unboundedFollowing))
