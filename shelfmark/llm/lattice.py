@@ -42,8 +42,8 @@ WORD_MARK = "▁"
 ROUNDS = 3
 END_WITHOUT_TEXTS = 1e-3
 PSEUDO_COUNT = 0.05
-HEAD_WORDS = 1 << 20
-GROUP = 1 << 22
+HEAD_WORDS = 1 << 18
+GROUP = 1 << 21
 WORDS_AT_ONCE = 1 << 16
 
 
@@ -276,7 +276,7 @@ def _score_texts(sent):
                 frequent = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
                 at, where = at[frequent], text[frequent]
                 n = b - a
-                sums = [np.bincount(where, weights=x[at], minlength=n) for x in (known, base, model)]
+                sums = [np.bincount(where, weights=x[at], minlength=n).astype(np.float64) for x in (known, base, model)]
                 rare, rare_text = own[~frequent], text[~frequent]
                 bounds = np.searchsorted(rare_text, np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -303,8 +303,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         while lexicon.where(F.col("count") > cut).count() > head_words:
             cut = 2 * cut + 1
     head = lexicon.where(F.col("count") > cut).select("hash", base.alias("base"), "log10_p", (F.col("count") > 0).cast("double").alias("known"))
-    head = head.toPandas().sort_values("hash")
-    sent = spark.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("hash", "base", "log10_p", "known")))
+    head = head.toArrow().sort_by("hash")  # HEAD_WORDS rows of 32 bytes at most
+    kinds = {"hash": np.int64, "base": np.float64, "log10_p": np.float64, "known": np.float64}
+    sent = spark.sparkContext.broadcast(tuple(head[c].to_numpy().astype(k) for c, k in kinds.items()))
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "held_out", F.col(text_col).alias("text")
     )

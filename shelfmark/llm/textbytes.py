@@ -35,18 +35,33 @@ NOT_BLANK = _table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 #: ASCII letters and digits, and every byte beyond ASCII.
 LETTERS = _table(lambda b: b >= 0x80 or chr(b).isalnum())
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+class _Powers:
+    """Powers of STEP and its inverse, made once per process and never sent with a task."""
+
+    def __init__(self):
+        self.size, self.up, self.down = 0, None, None
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.size <= n:
+            self.size = max(n + 1, GROUP_BYTES + 1)
+            made = []
+            for base in (STEP, STEP_BACK):
+                values = np.full(self.size, base, U)
+                values[0] = 1
+                made.append(np.multiply.accumulate(values))
+            self.up, self.down = made
+        return self.up, self.down
+
+
+_made = _Powers()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """STEP and its inverse to the powers 0 to n at least."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, GROUP_BYTES + 1)
-        for k, base in enumerate((STEP, STEP_BACK)):
-            values = np.full(size, base, U)
-            values[0] = 1
-            _powers[k] = np.multiply.accumulate(values)
-    return _powers[0], _powers[1]
+    return _made.upto(n)
 
 
 def groups(batch: pa.RecordBatch, column: str, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
