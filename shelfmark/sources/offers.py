@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from shelfmark.functions.text import null_if_missing
+from shelfmark.session import broadcast_if_small, write_through
 
 TEXT_COLUMNS = ["title", "description", "shop_category_name", "vendor_name", "vendor_code"]
 LABEL_COLUMNS = ["category_id", "department_id"]
@@ -15,41 +16,52 @@ def _schema(labels: bool) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_offers(spark: SparkSession, path: str, labels: bool = True, columns=None) -> DataFrame:
-    """Offers with ``row_id`` in input order: files by path, rows by position in the file.
+def read_offers(
+    spark: SparkSession, path: str, labels: bool = True, columns=None, multi_line: bool = True
+) -> DataFrame:
+    """Offers with ``row_id`` in input order: files by path, numbers in names by value, rows by position.
 
-    Quoted fields may hold tabs, line breaks and doubled quotes, hence
-    ``multiLine``: one file is one task, so large inputs should come as many
-    files.  Columns are taken by name from the header; vendor codes stay
-    strings, so a code such as ``007`` keeps its zeros.
+    Columns are taken by name from the header, further columns are ignored;
+    files whose headers differ are refused.  Vendor codes stay strings, so a
+    code such as ``007`` keeps its zeros.  Quoted fields may hold tabs, line
+    breaks and doubled quotes; with line breaks one file is one task, so large
+    inputs should come as many files, or, if no field has a line break, be read
+    with ``multi_line=False``, which splits files.
     """
-    schema = _schema(labels) if columns is None else T.StructType(
-        [T.StructField(n, T.StringType()) for n in columns]
-    )
-    raw = (
-        spark.read.schema(schema)
-        .option("sep", "\t")
+    wanted = _schema(labels).names if columns is None else list(columns)
+    reader = (
+        spark.read.option("sep", "\t")
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
-        .option("enforceSchema", False)
-        .csv(path)
+        .option("multiLine", multi_line)
     )
+    header = reader.csv(path).columns  # the first file's; every other file is held against it when it is read
+    missing = [n for n in wanted if n not in header]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header {header}")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
+    raw = reader.schema(schema).option("enforceSchema", False).csv(path)
     rows = raw.select(
-        *[null_if_missing(F.col(n)).alias(n) for n in schema.names],
+        *[null_if_missing(F.col(n)).alias(n) for n in wanted],
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
     for name in LABEL_COLUMNS:
-        if name in schema.names:
+        if name in wanted:
             rows = rows.withColumn(name, F.col(name).cast("double").cast("long"))
-    return with_row_id(rows, ["file", "block"], "at").select("row_id", *schema.names)
+    return with_row_id(rows, ["file", "block"], "at").select("row_id", *wanted)
+
+
+def _file_order() -> list[Column]:
+    """Files by path, with the numbers in it compared as numbers: part-99999 comes before part-100000."""
+    padded = F.regexp_replace(F.regexp_replace("file", "([0-9]+)", "0000000000000000000$1"), "0*([0-9]{20})(?![0-9])", "$1")
+    return [padded, F.col("file")]
 
 
 def with_row_id(rows: DataFrame, origin: list[str], at: str) -> DataFrame:
-    """Number rows 0, 1, 2, ... by ``origin`` (file and block), then by ``at`` within it.
+    """Number rows 0, 1, 2, ... by ``origin`` (``file``, then block), then by ``at`` within it.
 
     ``at`` must be ``monotonically_increasing_id`` taken on the scan, so that it has no gaps
     within one origin.  Only one row per origin is put in order and numbered;
@@ -58,11 +70,12 @@ def with_row_id(rows: DataFrame, origin: list[str], at: str) -> DataFrame:
     starts = (
         rows.groupBy(*origin)
         .agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(Window.orderBy(*origin)) - F.col("n"))
+        .withColumn("before", F.sum("n").over(Window.orderBy(*_file_order(), *origin[1:])) - F.col("n"))
         .drop("n")
     )
+    starts = broadcast_if_small(write_through(starts, "split-starts"))  # one row per input split
     return (
-        rows.join(F.broadcast(starts), origin)  # one row per input split
+        rows.join(starts, origin)
         .withColumn("row_id", F.col(at) - F.col("first") + F.col("before"))
         .drop("first", "before")
     )

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.session import new_table_path
@@ -50,3 +51,42 @@ def test_predictions_are_written_in_input_order(spark):
     keyed = new_table_path(spark, "keyed")
     offers.write_keyed_predictions(rows, keyed)
     assert spark.read.parquet(keyed).count() == 500
+
+
+def test_columns_are_taken_by_name(spark, tmp_path):
+    """Another order, a column more, and vendor codes that look like numbers."""
+    (tmp_path / "a.tsv").write_text("extra\tdepartment_id\ttitle\tvendor_code\tcategory_id\tdescription\tvendor_name\tshop_category_name\n"
+                                    "x\t2\tt\t007\t9\td\tv\ts\n")
+    row = offers.read_offers(spark, str(tmp_path / "a.tsv")).first()
+    assert row.asDict() == {"row_id": 0, "title": "t", "description": "d", "shop_category_name": "s", "vendor_name": "v",
+                            "vendor_code": "007", "category_id": 9, "department_id": 2}
+
+
+def test_missing_columns_and_different_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("title\tdescription\nx\ty\n")
+    with pytest.raises(ValueError, match="shop_category_name"):
+        offers.read_offers(spark, str(tmp_path / "a.tsv"))
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.tsv").write_text(HEADER + "a\t\t\t\t\t1\t1\n")
+    (tmp_path / "two" / "b.tsv").write_text(HEADER.replace("title\tdescription", "description\ttitle") + "a\t\t\t\t\t1\t1\n")
+    with pytest.raises(Exception, match="header"):
+        offers.read_offers(spark, str(tmp_path / "two")).collect()
+
+
+def test_files_are_ordered_by_number(spark, tmp_path):
+    for n in (99998, 99999, 100000, 100001):
+        (tmp_path / f"part-{n}-x.tsv").write_text(HEADER + f"f{n}\t\t\t\t\t1\t1\n")
+    got = offers.read_offers(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r["title"] for r in got] == ["f99998", "f99999", "f100000", "f100001"]
+
+
+def test_files_are_split_without_line_breaks_in_fields(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text(HEADER + "".join(f"r{i}\t{'x' * 200}\t\t\t\t1\t1\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = offers.read_offers(spark, str(tmp_path), multi_line=False)
+        titles = [r["title"] for r in got.orderBy("row_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert titles == [f"r{i}" for i in range(3000)]
