@@ -37,7 +37,8 @@ def brute(queries, train, labels, p, n_terms, factor=None):
     for k, (q, _, _) in enumerate(queries):
         score = np.array([cosine[k, j] * p[q][labels[t][1]] * (factor(q, labels[t][0]) if factor else 1.0)
                           for j, (t, _, _) in enumerate(train)])
-        out[q] = labels[train[int(np.argmax(np.round(score, 12)))][0]][0]
+        share = np.round(score / score.max(), 12) if score.max() > 0 else score
+        out[q] = labels[train[int(np.argmax(share))][0]][0]
     return out
 
 
@@ -131,3 +132,38 @@ def test_prior(spark, beta):
 
     got = run(spark, queries, train, labels, p, prior_of=fitted, scn=scn)
     assert got == brute(queries, train, labels, p, 60, factor)
+
+
+def test_small_probabilities_decide(spark):
+    """The likely department shares no term; of two rows with p = 1e-14 the nearer one wins."""
+    train = [(1, *unit([1, 2], [0.28, 0.96])), (2, *unit([1, 2], [0.96, 0.28])), (3, [3], [1.0])]
+    labels = {1: (10, 1), 2: (20, 1), 3: (30, 2)}
+    p = {9: {1: 1e-14, 2: 1 - 1e-14}}
+    assert run(spark, [(9, [1], [1.0])], train, labels, p) == {9: 20}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tiny_and_zero_probabilities_equal_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    train = random_vectors(rng, range(200), 60, 6)
+    labels = {t: (int(rng.integers(100, 120)), int(rng.integers(1, 4))) for t, _, _ in train}
+    queries = random_vectors(rng, range(1000, 1060), 60, 6)
+    p = {}
+    for q, _, _ in queries:
+        margins = rng.normal(size=3)
+        e = np.exp((margins - margins.max()) / 0.001)  # a low temperature: most underflow to 0 or nearly
+        p[q] = dict(zip(DEPARTMENTS, e / e.sum()))
+
+    assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 60)
+
+
+def test_all_scores_zero_give_the_first_row(spark):
+    train = [(5, [1], [1.0]), (6, [2], [1.0])]
+    labels = {5: (50, 2), 6: (60, 1)}
+    assert run(spark, [(9, [2], [1.0])], train, labels, {9: {1: 0.0, 2: 1.0}}) == {9: 50}
+
+
+def test_unlabelled_training_rows_are_refused(spark):
+    rows = spark.createDataFrame([(1, 5, None)], "row_id long, category_id long, department_id long")
+    with pytest.raises(ValueError, match="1 training rows"):
+        neighbours.build_index(spark.createDataFrame([(1, [1], [1.0])], VECTOR), rows)
