@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from shelfmark.session import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,10 +36,10 @@ def offers_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _ranked(spread(table(spark, sf_dir, "documents")), "lang", "department_id")
+    docs = _ranked(table(spark, sf_dir, "documents"), "lang", "department_id")
     return docs.select(
         F.col("doc_id").alias("row_id"),
-        F.array_join(F.slice(F.split("text", " ", -1), 1, 8), " ").alias("title"),
+        F.col("text").alias("title"),
         F.col("text").alias("description"),
         F.when(F.col("doc_id") % 3 != 0, F.concat("lang", F.lit(" / "), "source")).alias(
             "shop_category_name"
@@ -58,12 +56,14 @@ def offers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as labelled rows: category = label, department = label modulo 4.
 
-    The weights are the positive components scaled to length 1, so almost every
-    term occurs in about half of the rows: the hardest case for the search.
+    Component i gives term 2i its positive part and term 2i + 1 its negative part, scaled to length 1, so
+    every term occurs in about half of the rows: the hardest case for the search.
     """
-    positive = F.filter(
-        F.transform("embedding", lambda x, i: F.struct(i.alias("idx"), x.cast("double").alias("w"))),
-        lambda x: x["w"] > 0,
+    parts = F.transform(
+        "embedding",
+        lambda x, i: F.struct(
+            F.when(x > 0, 2 * i).otherwise(2 * i + 1).alias("idx"), F.abs(x.cast("double")).alias("w")
+        ),
     )
     length = F.sqrt(F.aggregate("vec.w", F.lit(0.0), lambda acc, w: acc + w * w))
     return (
@@ -73,7 +73,7 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("label").cast("long").alias("category_id"),
             (F.col("label") % 4).cast("long").alias("department_id"),
             "embedding",
-            positive.alias("vec"),
+            F.filter(parts, lambda x: x["w"] > 0).alias("vec"),
         )
         .withColumn("length", length)
         .select(
@@ -84,9 +84,13 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def first_scores(embedding: Column) -> Column:
-    """The first four components, taken as department scores."""
-    return F.slice(F.transform(embedding, lambda x: x.cast("double")), 1, 4)
+def quarter_scores(embedding: Column) -> Column:
+    """Four department scores: the sums of 16 components each."""
+    def total(k):
+        part = F.slice(embedding, 16 * k + 1, 16)
+        return F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    return F.array(*[total(k) for k in range(4)])
 
 
 # A lexicon for the Latin texts of the tables.
@@ -107,8 +111,9 @@ LATIN_TOPICS = (
     ("__topic_mail__", r"@|http"),
 )
 
-# A few dictionary forms.
-LEMMAS = (
-    ("the", "a"), ("is", "be"), ("was", "be"), ("are", "be"), ("der", "die"), ("das", "die"),
-    ("las", "el"), ("los", "el"), ("les", "le"), ("des", "de"), ("tion", "tion"),
-)
+
+def lemma_table(words: DataFrame) -> DataFrame:
+    """``word, lemma`` made of all ``words`` (one column): a word of five letters or more loses its last two."""
+    return words.toDF("word").where("word != ''").distinct().select(
+        "word", F.expr("if(length(word) >= 5, left(word, length(word) - 2), word)").alias("lemma")
+    )

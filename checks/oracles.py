@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.fixtures import LATIN_TOPICS, LATIN_TYPES, LATIN_UNITS, LEMMAS
+from checks.fixtures import LATIN_TOPICS, LATIN_TYPES, LATIN_UNITS
 from shelfmark.functions import lexicon
 
 SPACE = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -21,8 +21,7 @@ offers as (
 
 OFFERS_DOCS = """
 offers as (
-  select doc_id as row_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') as title,
-    text as description,
+  select doc_id as row_id, text as title, text as description,
     case when doc_id % 3 = 0 then null else lang || ' / ' || source end as shop_category_name,
     source as vendor_name, cast(null as varchar) as vendor_code,
     100 * department_id + cast(regexp_extract(source, '([0-9]+)', 1) as bigint) as category_id,
@@ -172,6 +171,9 @@ tv as ({rule(TITLE_VENDOR, source='train')}),
 ts as ({rule(TITLE_SCN, source='train')})"""
 
 
+KNOWN = "known as (select category_id, arg_min(department_id, row_id) as department_id from train group by 1)"
+
+
 def applied(source):
     return f"""
 applied as (
@@ -272,11 +274,13 @@ cosines as (
 def best(factor="1.0", extra=""):
     return f"""
 scored as (
-  select c.q, c.t, train.category_id, round(c.cosine * p.p * {factor}, 12) as score
+  select c.q, c.t, train.category_id, c.cosine * p.p * {factor} as score
   from cosines c join train on train.row_id = c.t
   join p on p.row_id = c.q and p.department_id = train.department_id {extra}),
 picked as (
-  select q, category_id from (select *, row_number() over (partition by q order by score desc, t) as r from scored)
+  select q, category_id from (
+    select *, row_number() over (partition by q order by round(score / top, 12) desc, t) as r
+    from (select *, max(score) over (partition by q) as top from scored) where top > 0)
   where r = 1),
 predicted as (
   select held.row_id, coalesce(picked.category_id,
@@ -302,18 +306,24 @@ PRIOR_JOIN = (
     "left join pairs on pairs.scn = s.scn and pairs.category_id = train.category_id"
 )
 
+# Four department scores of an embedding: the sums of 16 components each.
+QUARTERS = (
+    "list_transform(range(0, 4), lambda k: list_sum(list_transform(embedding[16 * k + 1:16 * k + 16], "
+    "lambda x: cast(x as double))))"
+)
+
 KNN_DENSE = f"""
 with rows_ as (
   select vec_id as row_id, cast(label as bigint) as category_id, cast(label % 4 as bigint) as department_id, embedding
   from embeddings),
 {split('rows_')},
 terms as (
-  select row_id, i, v / sqrt(sum(v * v) over (partition by row_id)) as weight
-  from (select row_id, unnest(range(1, 65)) as i, cast(unnest(embedding) as double) as v from rows_) where v > 0),
+  select row_id, 2 * i + case when v > 0 then 0 else 1 end as i, abs(v) / sqrt(sum(v * v) over (partition by row_id)) as weight
+  from (select row_id, unnest(range(0, 64)) as i, cast(unnest(embedding) as double) as v from rows_) where v <> 0),
 p as (
   select row_id, department_id, e / sum(e) over (partition by row_id) as p
   from (select row_id, unnest(range(0, 4)) as department_id,
-          exp(cast(unnest(embedding[1:4]) as double)) as e from held)),
+          exp(unnest({QUARTERS})) as e from held)),
 cosines as (
   select a.row_id as q, b.row_id as t, sum(a.weight * b.weight) as cosine
   from terms a join held on held.row_id = a.row_id join terms b on a.i = b.i
@@ -340,7 +350,6 @@ per_class as (
 
 def oracle_sql() -> dict[str, str]:
     missing = ", ".join(q(m) for m in lexicon.MISSING_STRINGS)
-    lemma_rows = ", ".join(f"({q(w)}, {q(l)})" for w, l in LEMMAS)
     samples = ["", "NA", "n/a", "null", "None", "007", "nan", "<NA>", "x1", "#N/A", "-"]
     cases = " ".join(f"when {i} then {q(s)}" for i, s in enumerate(samples))
     out = {
@@ -355,11 +364,11 @@ union all select 'documents', doc_id, {clean_text('text')} from documents""",
 select 'pages' as origin, page_id as id, {clean_desc('html')} as long_cut, {clean_desc('html', 800)} as short_cut from pages
 union all select 'documents', doc_id, {clean_desc('text')}, {clean_desc('text', 800)} from documents""",
         "lemma_join": f"""
-with lemmas(word, lemma) as (values {lemma_rows}),
-w as (select doc_id, unnest(string_split({clean_text('text')}, ' ')) as word,
+with w as (select doc_id, unnest(string_split({clean_text('text')}, ' ')) as word,
         generate_subscripts(string_split({clean_text('text')}, ' '), 1) as pos from documents)
-select doc_id as row_id, string_agg(coalesce(lemma, w.word), ' ' order by pos) as lemmatised
-from w left join lemmas on lemmas.word = w.word group by 1""",
+select doc_id as row_id,
+  string_agg(case when length(word) >= 5 then left(word, length(word) - 2) else word end, ' ' order by pos) as lemmatised
+from w group by 1""",
         "vendor_clean": f"with {OFFERS_PART} select row_id, {vendor('vendor_name')} as vendor from offers",
         "category_leaf": f"with {OFFERS_PART} select row_id, {leaf('shop_category_name')} as leaf from offers",
         "shop_category_clean": f"""with {OFFERS_PART} select row_id, {shop_category('shop_category_name')} as category_field,
@@ -412,9 +421,9 @@ union all select 'category', category_id, count(*) from offers group by 2""",
 select row_id, 'department_words' as block, count(*) as n_terms, round(sum(weight), 6) as total,
   round(max(weight), 6) as largest from a_tfidf group by 1
 union all select row_id, 'department_chars', count(*), round(sum(weight), 6), round(max(weight), 6) from b_tfidf group by 1""",
-        "softmax_temperature": """
+        "softmax_temperature": f"""
 select vec_id, i as department_id, round(e / sum(e) over (partition by vec_id), 6) as p
-from (select vec_id, unnest(range(0, 4)) as i, exp(cast(unnest(embedding[1:4]) as double) / 0.5) as e from embeddings)""",
+from (select vec_id, unnest(range(0, 4)) as i, exp(unnest({QUARTERS}) / 0.5) as e from embeddings)""",
         "weighted_knn_dense": f"{KNN_DENSE} select * from result",
         "weighted_knn_text": f"{KNN_TEXT}, {best()} select row_id, category_id from predicted",
         "scn_prior": f"""with {OFFERS_DOCS}, train as (select * from offers), {PRIOR}
@@ -442,5 +451,25 @@ union all select 'weighted avg', round(sum(precision * support) / sum(support),
 f as (select sum(f1 * support) / sum(support) as f from per_class),
 a as (select avg(case when category_id = predicted_category then 1.0 else 0.0 end) as a from result)
 select round(f, 6) as department_f1, round(a, 6) as category_accuracy, round(30 * f + 70 * a, 6) as score from f, a""",
+        "department_svm": f"""with {OFFERS_DOCS}
+select row_id, department_id, true as is_largest, true as adds_up from offers""",
+        "department_fill": f"""with {OFFERS_DOCS}, {split()}, {RULES}, {applied('held')}, {KNOWN},
+m as (select row_id, list_transform(range(0, 4), lambda d: row_id * (2 * d + 1) % 17) as margins from held)
+select a.row_id, a.rule_category as category_id,
+  coalesce(known.department_id, list_position(m.margins, list_max(m.margins)))::bigint as department_id
+from applied a join m using (row_id) left join known on known.category_id = a.rule_category""",
+        "predict_full": f"""{KNN_TEXT}, {best()}, {RULES}, {applied('held')}, {KNOWN},
+answers as (
+  select row_id, coalesce(rule_category, category_id) as category_id, rule_category is not null as by_rule
+  from applied join predicted using (row_id))
+select row_id, category_id, known.department_id, by_rule from answers left join known using (category_id)""",
+        "model_roundtrip": f"""with {OFFERS_DOCS}, {split()}
+select count(*) as n_rows, cast(0 as bigint) as n_different from held""",
+        "evaluate": f"""with {OFFERS_DOCS}, distinct_ as (select * exclude (r) from (
+  select *, row_number() over (partition by title, description, shop_category_name, category_id, department_id
+    order by row_id) as r from offers) where r = 1), {split('distinct_')}, {RULES}, {applied('train')}
+select count(*) as n_train, count(rule_category) as n_train_covered,
+  (select count(*) from held where category_id in (select category_id from train)) as n_scored,
+  true as score_agrees from applied""",
     }
     return out

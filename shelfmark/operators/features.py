@@ -97,48 +97,47 @@ def corpus_counts(docs: DataFrame, blocks) -> DataFrame:
     )
 
 
-def _log_bucket(count: Column) -> Column:
-    # 64 steps per doubling: at most a few thousand buckets whatever the counts.
-    return F.floor(F.log2(count.cast("double")) * 64).cast("int")
-
-
 def top_terms(counts: DataFrame, blocks) -> DataFrame:
-    """The ``max_features`` most frequent terms of each block, ties by term.
+    """The ``max_features`` most frequent terms of each block, ties by term; ``counts`` is read several times.
 
-    A histogram of the counts (a few thousand rows) says how deep the top goes;
-    only terms at or above that depth are ranked, so the ranking never sees much
-    more than ``max_features`` terms.
+    A histogram of the exact counts (few rows, as counts repeat) gives the count at which the limit is
+    reached.  Terms above it are taken without any ranking; only the ties at it are put in order, by a
+    distributed top-k.
     """
-    limit = reduce(
-        lambda acc, b: acc.when(F.col("block") == b.name, b.max_features), blocks, F
-    )
+    limit = reduce(lambda acc, b: acc.when(F.col("block") == b.name, b.max_features), blocks, F)
     floor = reduce(lambda acc, b: acc.when(F.col("block") == b.name, b.min_df), blocks, F)
-    kept = counts.where(F.col("df") >= floor).withColumn("bucket", _log_bucket(F.col("ctf")))
-    down = Window.partitionBy("block").orderBy(F.desc("bucket"))
-    depth = (
-        kept.groupBy("block", "bucket")
+    kept = counts.where(F.col("df") >= floor)
+    down = Window.partitionBy("block").orderBy(F.desc("ctf"))
+    cuts = (
+        kept.groupBy("block", "ctf")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("above", F.sum("n").over(down) - F.col("n"))
-        .where(F.col("above") < limit)
+        .withColumn("upto", F.sum("n").over(down))
+        .where((F.col("upto") > limit) & (F.col("upto") - F.col("n") <= limit))
         .groupBy("block")
-        .agg(F.min("bucket").alias("depth"))
-    )
-    rank = Window.partitionBy("block").orderBy(F.desc("ctf"), "term")
-    return (
-        kept.join(F.broadcast(depth), "block")  # one row per block
-        .where(F.col("bucket") >= F.col("depth"))
-        .withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= limit)
-        .select("block", "term", "df", "ctf")
+        .agg(F.max("ctf").alias("cut"), F.max_by(F.col("upto") - F.col("n"), "ctf").alias("above"))
+        .collect()  # one row per block
     )
+    cut = {r["block"]: r for r in cuts}
+    parts = []
+    for b in blocks:
+        own = kept.where(F.col("block") == b.name)
+        if b.name not in cut:
+            parts.append(own)
+            continue
+        at, rest = cut[b.name]["cut"], b.max_features - cut[b.name]["above"]
+        parts.append(own.where(F.col("ctf") > at))
+        parts.append(own.where(F.col("ctf") == at).orderBy("term").limit(rest))
+    return reduce(DataFrame.unionByName, parts).select("block", "term", "df", "ctf")
 
 
 def inverse_document_frequency(df: Column, n_docs: Column) -> Column:
     return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
-def vocabulary(docs: DataFrame, blocks) -> DataFrame:
-    """``block, term, idx, df, idf``: the learnt terms of all blocks."""
+def vocabulary(docs: DataFrame, blocks, counts: DataFrame | None = None) -> DataFrame:
+    """``block, term, idx, df, idf``: the learnt terms of all blocks; ``counts`` are written corpus counts."""
+    if counts is None:
+        counts = write_through(corpus_counts(docs, blocks), "term-counts")
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     offset = F
     before = 0
@@ -147,7 +146,7 @@ def vocabulary(docs: DataFrame, blocks) -> DataFrame:
         before += b.max_features
     # At most max_features rows per block reach this ranking.
     rarest_first = Window.partitionBy("block").orderBy("df", "term")
-    return top_terms(corpus_counts(docs, blocks), blocks).select(
+    return top_terms(counts, blocks).select(
         "block",
         "term",
         (F.row_number().over(rarest_first) - 1 + offset).cast("int").alias("idx"),
@@ -156,9 +155,9 @@ def vocabulary(docs: DataFrame, blocks) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, blocks) -> DataFrame:
+def fit(docs: DataFrame, blocks, counts: DataFrame | None = None) -> DataFrame:
     """Learn the vocabulary and write it through, ready for repeated use."""
-    return write_through(vocabulary(docs, blocks), "vocabulary")
+    return write_through(vocabulary(docs, blocks, counts), "vocabulary")
 
 
 def n_features(blocks) -> int:

@@ -4,31 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.session import broadcast_if_small
+from shelfmark.session import BROADCAST_LIMIT, broadcast_if_small, write_through
 
 # Stands alone between two fields; cleaned fields hold letters, digits, hyphens and blanks only.
 FIELD_END = "|"
 
 
-def lemmatise(rows: DataFrame, columns: list[str], lemmas: DataFrame, key: str = "row_id") -> DataFrame:
+def lemmatise(
+    rows: DataFrame, columns: list[str], lemmas: DataFrame, key: str = "row_id", limit: int = BROADCAST_LIMIT
+) -> DataFrame:
     """Replace each word of the given cleaned text columns; words without an entry stay.
 
-    All columns of a row travel as one word list, so the words are joined and
-    put back in order once however many columns there are.  The rows are
-    partitioned by ``key`` before the split: where the lemma table is small
-    enough to broadcast, regrouping needs no further shuffle.  A larger table
-    joins by word, where the words without an entry are never moved.
+    Of the table only the forms that occur are used: the distinct words of the
+    texts, combined on the map side, choose them, and they are written and
+    measured.  All columns of a row travel as one word list, partitioned by
+    ``key`` before the split, so with forms below ``limit`` bytes the texts are
+    the only thing shuffled.  With more, the words meet the forms by word; a
+    frequent word is dealt out again by adaptive skew handling, since the table
+    has one row per word.
     """
     marker = f" {FIELD_END} "
-    words = (
-        rows.select(key, F.concat_ws(marker, *columns).alias("all"))
-        .repartition(F.col(key))
-        .select(key, F.posexplode(F.split("all", " ", -1)).alias("pos", "word"))
-    )
-    forms = broadcast_if_small(lemmas.select("word", "lemma").where(F.col("word") != F.col("lemma")))
+    packed = rows.select(key, F.concat_ws(marker, *columns).alias("all"))
+    occurring = packed.select(F.explode(F.split("all", " ", -1)).alias("word")).distinct()
+    forms = lemmas.select("word", "lemma").where(F.col("word") != F.col("lemma")).dropDuplicates(["word"])
+    forms = write_through(forms.join(occurring, "word", "left_semi"), "lemma-forms")
+    words = packed.repartition(F.col(key)).select(key, F.posexplode(F.split("all", " ", -1)).alias("pos", "word"))
+    replaced = words.join(broadcast_if_small(forms, limit), "word", "left")
     fields = (
-        words.join(forms, "word", "left")
-        .groupBy(key)
+        replaced.groupBy(key)
         .agg(
             F.array_sort(
                 F.collect_list(F.struct("pos", F.coalesce("lemma", "word").alias("form")))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelfmark.session import broadcast_if_small, write_through
+
+# Rows equal in these fields are copies.
 DUPLICATE_KEY = ["title", "description", "shop_category_name", "category_id", "department_id"]
 # Rows are first placed by the leading hex digits of their hash; only the rows of
 # one such slot per class are ever sorted.
@@ -13,17 +16,13 @@ SLOT_DIGITS = 4
 def drop_duplicates(offers: DataFrame, key=DUPLICATE_KEY) -> DataFrame:
     """Keep the lowest ``row_id`` of equal rows; NULLs are equal to each other.
 
-    Grouping is by a digest of the key, so the aggregation carries 32 bytes
-    instead of whole texts and copies collapse before the shuffle.
+    Only ``row_id`` and a digest of the key are grouped; the rows that stay are
+    found by ``row_id``, which must be unique.
     """
     # NULL fields are left out of the JSON text, which keeps NULL apart from "".
     digest = F.sha2(F.to_json(F.struct(*key)), 256)
-    row = F.struct(*offers.columns)
-    return (
-        offers.groupBy(digest.alias("digest"))
-        .agg(F.min_by(row, "row_id").alias("row"))
-        .select("row.*")
-    )
+    first = offers.groupBy(digest.alias("digest")).agg(F.min("row_id").alias("row_id"))
+    return offers.join(first.select("row_id"), "row_id", "left_semi")
 
 
 def known_categories(rows: DataFrame, train: DataFrame) -> DataFrame:
@@ -62,18 +61,25 @@ def stratified_flag(
             F.min_by(F.col("take") - F.col("before"), "slot").alias("rest"),
         )
     )
-    # One row per class: small whatever the number of rows.
-    cuts = F.broadcast(cuts.withColumnRenamed(by, "class"))
+    # One row per value of ``by``; broadcast when that is few enough.
+    cuts = broadcast_if_small(write_through(cuts.withColumnRenamed(by, "class"), "cuts"))
     placed = drawn.join(cuts, F.col(by).eqNullSafe(F.col("class")), "left")
-    at_cut = Window.partitionBy(by, "slot").orderBy("draw", "row_id")
-    inside = (
+    # The last hash that is held out of the slot with the cut: only rows of that slot are ranked.
+    at_cut = Window.partitionBy(by).orderBy("draw", "row_id")
+    last = (
         placed.where(F.col("slot") == F.col("cut"))
-        .withColumn("held_out", F.row_number().over(at_cut) <= F.col("rest"))
+        .select(by, "draw", "row_id", "rest", F.row_number().over(at_cut).alias("rank"))
+        .where(F.col("rank") == F.col("rest"))
+        .select(F.col(by).alias("of"), F.struct("draw", "row_id").alias("last"))
     )
-    outside = placed.where(F.col("cut").isNull() | (F.col("slot") != F.col("cut"))).withColumn(
-        "held_out", F.col("cut").isNull() | (F.col("slot") < F.col("cut"))
+    marked = placed.join(broadcast_if_small(write_through(last, "last-held-out")), F.col(by).eqNullSafe(F.col("of")), "left")
+    inside = F.col("last").isNotNull() & (F.struct("draw", "row_id") <= F.col("last"))
+    held_out = (
+        F.when(F.col("cut").isNull() | (F.col("slot") < F.col("cut")), True)
+        .when(F.col("slot") == F.col("cut"), inside)
+        .otherwise(False)
     )
-    return inside.unionByName(outside).select(*rows.columns, "held_out")
+    return marked.withColumn("held_out", held_out).select(*rows.columns, "held_out")
 
 
 def split_counts(flagged: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
-_own_folders: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -22,6 +21,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("SHELFMARK_CHECKPOINTS", "/tmp/checkpoints"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,21 +29,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only a local session may do without and gets one of its own."""
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors must share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own_folders:
-            _own_folders[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        folder = _own_folders[app]
+        raise ValueError("set spark.checkpoint.dir to a folder the driver and all executors share")
     return folder.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where the tables of this application lie."""
+    return f"{shared_folder(spark)}/shelfmark-{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove all tables this application has written through; call it when its results are saved."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/shelfmark-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_through(df: DataFrame, name: str, schema=None) -> DataFrame:
@@ -59,15 +65,6 @@ def write_through(df: DataFrame, name: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain scan out evenly when it has fewer partitions than there are cores.
-
-    Only one or two small files come to this; a scan of many files is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Mark a written table for broadcast when its measured content is below ``limit`` bytes.
 
