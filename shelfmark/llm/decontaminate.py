@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import BROADCAST_BYTES, row_key, table
+from shelfmark.llm.common import BROADCAST_BYTES, bounded_batches, row_key, table
 from shelfmark.llm.textbytes import LETTERS, STEP, U, groups, mixed, word_hashes, words
 from shelfmark.session import broadcast_if_small, write_through
 
 WINDOW = 10
 BLOCK_BYTES = 8 * 1024 * 1024
-SHARD_BYTES = 4 * 1024 * 1024
+SHARD_BYTES = 1024 * 1024
 SAMPLE = 8
 
 
@@ -280,7 +280,7 @@ def find_passages(
     )
     size = asked.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    texts = docs.select(
+    texts = bounded_batches(docs).select(
         F.col(id_col).alias("id"), *[k.alias(n) for k, n in zip(row_key(id_col, text_col), ("row1", "row2"))], F.col(text_col).alias("text")
     )
     schema = (

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import BROADCAST_BYTES, in_fold, row_key, table
+from shelfmark.llm.common import BROADCAST_BYTES, bounded_batches, in_fold, row_key, table
 from shelfmark.llm.textbytes import groups
 from shelfmark.session import broadcast_if_small, write_through
 
@@ -162,7 +162,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, per_language: int = PER
 
 def predict(docs: DataFrame, languages: list[str], model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, row1.. as selected, lang_pred, score) of all texts; every other column of ``docs`` passes."""
-    rows = docs.withColumn(text_col, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)))
+    rows = bounded_batches(docs).withColumn(text_col, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)))
     others = [c for c in docs.columns if c != text_col]
     sent = docs.sparkSession.sparkContext.broadcast((languages, model))
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import in_fold, table
+from shelfmark.llm.common import bounded_batches, in_fold, table
 from shelfmark.llm.textbytes import (
     BYTE_VALUES, LOWER, NOT_BLANK, U, groups, mixed, powers, word_hashes, words,
 )
@@ -238,7 +238,7 @@ def _word_scores(sent):
 def learn(texts: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> dict:
     """The model of ``texts`` (training, text): the scored word table and its totals."""
     spark = texts.sparkSession
-    counted = texts.mapInArrow(_count_words, "hash long, word binary, count long")
+    counted = bounded_batches(texts).mapInArrow(_count_words, "hash long, word binary, count long")
     word_table = write_through(counted.groupBy("hash", "word").agg(F.sum("count").alias("count")), "lm-words")
     n_texts = texts.where("training").count()
     seen = F.col("count") > 0
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     head = head.toArrow().sort_by("hash")  # HEAD_WORDS rows of 32 bytes at most
     kinds = {"hash": np.int64, "base": np.float64, "log10_p": np.float64, "known": np.float64}
     sent = spark.sparkContext.broadcast(tuple(head[c].to_numpy().astype(k) for c, k in kinds.items()))
-    texts = docs.select(
+    texts = bounded_batches(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "held_out", F.col(text_col).alias("text")
     )
     schema = (

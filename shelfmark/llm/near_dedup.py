@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import BROADCAST_BYTES, table
+from shelfmark.llm.common import BROADCAST_BYTES, bounded_batches, table
 from shelfmark.llm.components import components
 from shelfmark.llm.textbytes import (
     NOT_BLANK, STEP, U, distinct_by_text, groups, mixed, shingles, word_hashes, words,
@@ -261,7 +261,7 @@ def _links(members: DataFrame, sets: DataFrame, id_type: str) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     signed = write_through(
         texts.mapInArrow(_sign, f"id {id_type}, n long, set1 long, set2 long, bands array<long>"), "near-signed"

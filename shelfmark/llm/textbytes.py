@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 STEP, STEP_BACK = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Texts are handled in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -97,7 +97,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     """A 64-bit hash of each piece of ``data``, with A-Z lower-cased unless other ``values`` are given."""
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
+    np.multiply(values[data], up[: len(data)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 

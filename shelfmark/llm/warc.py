@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm.common import BROADCAST_BYTES, table
+from shelfmark.llm.common import BROADCAST_BYTES, bounded_batches, table
 from shelfmark.session import broadcast_if_small, new_table_path, write_through
 
 REVISIT_BYTES = 100
@@ -112,7 +112,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             {"path": [x[0] for x in done], "bytes": [x[1] for x in done]}, pa.schema([("path", pa.string()), ("bytes", pa.int64())])
         )
 
-    return write_through(records.mapInArrow(write, "path string, bytes long"), "warc-archives")
+    return write_through(bounded_batches(records).mapInArrow(write, "path string, bytes long"), "warc-archives")
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
