@@ -9,6 +9,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, dealt out over all cores: the given tables are one file, so one task, each."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def _ranked(rows: DataFrame, column: str, rank: str) -> DataFrame:
     """``rows`` with the rank of ``column`` among its distinct values (a short list)."""
     values = rows.select(column).distinct()
@@ -36,7 +41,7 @@ def offers_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _ranked(table(spark, sf_dir, "documents"), "lang", "department_id")
+    docs = _ranked(dealt(spark, sf_dir, "documents", "doc_id"), "lang", "department_id")
     return docs.select(
         F.col("doc_id").alias("row_id"),
         F.col("text").alias("title"),

@@ -64,8 +64,8 @@ def prediction_csv(spark, sf):
 # Projections
 
 def _texts_of_tables(spark, sf, make):
-    pages = fx.table(spark, sf, "pages")
-    docs = fx.table(spark, sf, "documents")
+    pages = fx.dealt(spark, sf, "pages", "page_id")
+    docs = fx.dealt(spark, sf, "documents", "doc_id")
     return pages.select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), *make(F.col("html"))).unionByName(
         docs.select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), *make(F.col("text")))
     )
@@ -83,7 +83,7 @@ def clean_desc(spark, sf):
 
 
 def lemma_join(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(
+    docs = fx.dealt(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("row_id"), text.clean_text(F.col("text")).alias("lemmatised")
     )
     forms = fx.lemma_table(docs.select(F.explode(F.split("lemmatised", " ", -1))))
