@@ -2,8 +2,8 @@
 
 1. A task hashes the distinct five-word shingles of its texts and draws SuperMinHash signatures: every
    shingle walks a pseudo-random permutation of the slots, round by round; a text stops as soon as all its
-   slots are taken, since later rounds only bring larger values.  180 slots make 30 bands of 6: two texts
-   at the link limit share no band with a probability under 1e-6.
+   slots are taken, since later rounds only bring larger values.  180 slots make 30 bands of 6 for a limit
+   of 85 percent and 36 bands of 5 for 80: two texts at the limit share no band with a probability under 1e-6.
 2. Equal shingle sets become one vertex (the smallest id); buckets are the bands of vertices.  Buckets with
    the same members are kept once.
 3. Shingle sets of the vertices that share a bucket are computed from whole texts again and verified
@@ -36,8 +36,8 @@ from shelfmark.llm.textbytes import (
 )
 from shelfmark.session import broadcast_if_small, write_through
 
-WIDTH, PERCENT = 5, 85
-ROWS, BANDS = 6, 30
+WIDTH, PERCENT, STAGE_PERCENT = 5, 85, 80
+SLOTS, ROWS, STAGE_ROWS = 180, 6, 5
 BLOCK, MOST_BLOCKS = 512, 24
 EMPTY = U(2**64 - 1)
 
@@ -84,25 +84,30 @@ def _signed(values: np.ndarray):
     return pa.array(values.astype(U).view(np.int64))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, set1, set2, bands) of each text."""
-    for batch in batches:
-        for a, b, data, offsets in groups(batch, "text"):
-            values, text, bounds = shingle_sets(data, offsets)
-            sums = [np.zeros(len(values) + 1, U) for _ in range(2)]
-            for k, total in enumerate(sums):
-                np.cumsum(mixed(values + np.array([k + 101], U) * STEP), out=total[1:])
-            set1, set2 = (total[bounds[1:]] - total[bounds[:-1]] for total in sums)
-            slots = signatures(values, text, b - a, ROWS * BANDS).reshape(b - a, BANDS, ROWS)
-            keys = np.zeros((b - a, BANDS), U)
-            for r in range(ROWS):
-                keys = mixed(keys * STEP + slots[:, :, r])
-            keys = mixed(keys + np.arange(BANDS, dtype=U))
-            bands = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * BANDS, _signed(keys.ravel()))
-            n = pa.array(np.diff(bounds).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(a, b - a), n, _signed(set1), _signed(set2), bands], ["id", "n", "set1", "set2", "bands"]
-            )
+def _sign(rows: int):
+    """(id, n, set1, set2, bands) of each text; a band is ``rows`` slots."""
+    n_bands = SLOTS // rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in groups(batch, "text"):
+                values, text, bounds = shingle_sets(data, offsets)
+                sums = [np.zeros(len(values) + 1, U) for _ in range(2)]
+                for k, total in enumerate(sums):
+                    np.cumsum(mixed(values + np.array([k + 101], U) * STEP), out=total[1:])
+                set1, set2 = (total[bounds[1:]] - total[bounds[:-1]] for total in sums)
+                slots = signatures(values, text, b - a, SLOTS).reshape(b - a, n_bands, rows)
+                keys = np.zeros((b - a, n_bands), U)
+                for r in range(rows):
+                    keys = mixed(keys * STEP + slots[:, :, r])
+                keys = mixed(keys + np.arange(n_bands, dtype=U))
+                bands = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * n_bands, _signed(keys.ravel()))
+                n = pa.array(np.diff(bounds).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(a, b - a), n, _signed(set1), _signed(set2), bands], ["id", "n", "set1", "set2", "bands"]
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +141,13 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def forest(vertices: list, sets: list[np.ndarray]) -> list[tuple]:
+def forest(vertices: list, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple]:
     """Links (a, b) that connect what the exact links among ``sets`` connect."""
     if len(sets) < 2:
         return []
     sizes = np.array([len(s) for s in sets], np.float64)
     common = intersections(sets)
-    linked = np.argwhere(np.triu(100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common), 1))
+    linked = np.argwhere(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1))
     parent = list(range(len(sets)))
 
     def root(x):
@@ -161,52 +166,60 @@ def forest(vertices: list, sets: list[np.ndarray]) -> list[tuple]:
     return kept
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(percent: int):
     """Links of the groups in rows sorted by (key, part): each run of equal ones is one group."""
-    key, vertices, sets, out, kind = None, [], [], [], None
 
-    def flush():
-        a, b = zip(*out)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
-
-    for batch in batches:
-        kind = batch.column("vertex").type
-        keys = zip(batch.column("key").to_pylist(), batch.column("part").to_pylist())
-        for here, vertex, packed in zip(keys, batch.column("vertex").to_pylist(), batch.column("shingles")):
-            if here != key:
-                out += forest(vertices, sets)
-                key, vertices, sets = here, [], []
-            vertices.append(vertex)
-            sets.append(np.frombuffer(packed.as_py(), U))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, vertices, sets, out, kind = None, [], [], [], None
+
+        def flush():
+            a, b = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+        for batch in batches:
+            kind = batch.column("vertex").type
+            keys = zip(batch.column("key").to_pylist(), batch.column("part").to_pylist())
+            for here, vertex, packed in zip(keys, batch.column("vertex").to_pylist(), batch.column("shingles")):
+                if here != key:
+                    out += forest(vertices, sets, percent)
+                    key, vertices, sets = here, [], []
+                vertices.append(vertex)
+                sets.append(np.frombuffer(packed.as_py(), U))
+            if out:
+                yield flush()
+        out += forest(vertices, sets, percent)
         if out:
             yield flush()
-    out += forest(vertices, sets)
-    if out:
-        yield flush()
 
+    return run
 
-def _with_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_centre(percent: int):
     """Whether each row's set is linked to its centre's."""
-    for batch in batches:
-        linked = []
-        for one, two in zip(batch.column("shingles"), batch.column("centre_shingles")):
-            x, y = np.frombuffer(one.as_py(), U), np.frombuffer(two.as_py(), U)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("vertex"), batch.column("centre"), pa.array(linked, pa.bool_())],
-            ["key", "vertex", "centre", "linked"],
-        )
-
-
-def _grouped(rows: DataFrame, id_type: str) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for one, two in zip(batch.column("shingles"), batch.column("centre_shingles")):
+                x, y = np.frombuffer(one.as_py(), U), np.frombuffer(two.as_py(), U)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("vertex"), batch.column("centre"), pa.array(linked, pa.bool_())],
+                ["key", "vertex", "centre", "linked"],
+            )
+
+    return run
+
+
+def _grouped(rows: DataFrame, id_type: str, percent: int) -> DataFrame:
     """Links of each (key, part) group of ``rows`` (key, part, vertex, shingles)."""
     together = rows.select("key", "part", "vertex", "shingles").repartition("key", "part").sortWithinPartitions("key", "part")
-    return together.mapInArrow(_verify, f"a {id_type}, b {id_type}")
+    return together.mapInArrow(_verify(percent), f"a {id_type}, b {id_type}")
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, id_type: str) -> DataFrame:
+def _hot_links(hot: DataFrame, sets: DataFrame, id_type: str, percent: int) -> DataFrame:
     """Links of the buckets with more than ``BLOCK`` members; ``hot`` is (key, vertex)."""
     centres = hot.groupBy("key").agg(F.min("vertex").alias("centre"))
     centre_sets = centres.join(sets.select(F.col("vertex").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
@@ -214,7 +227,7 @@ def _hot_links(hot: DataFrame, sets: DataFrame, id_type: str) -> DataFrame:
         hot.join(sets, "vertex")
         .join(centre_sets, "key")
         .select("key", "vertex", "shingles", "centre", "centre_shingles")
-        .mapInArrow(_with_centre, f"key long, vertex {id_type}, centre {id_type}, linked boolean")
+        .mapInArrow(_with_centre(percent), f"key long, vertex {id_type}, centre {id_type}, linked boolean")
     )
     compared = write_through(compared.groupBy("key", "vertex", "centre").agg(F.max("linked").alias("linked")), "near-hot")
     sizes = compared.groupBy("key").agg(
@@ -232,11 +245,11 @@ def _hot_links(hot: DataFrame, sets: DataFrame, id_type: str) -> DataFrame:
     )
     return (
         compared.where("linked and vertex != centre").select(F.col("centre").alias("a"), F.col("vertex").alias("b"))
-        .unionByName(_grouped(tasks.join(sets, "vertex"), id_type))
+        .unionByName(_grouped(tasks.join(sets, "vertex"), id_type, percent))
     )
 
 
-def _links(members: DataFrame, sets: DataFrame, id_type: str) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, id_type: str, percent: int) -> DataFrame:
     """Links that connect what the exact links inside buckets connect; ``members`` is (key, members, vertex).
 
     Vertices whose buckets touch form a cluster.  A cluster of up to ``MOST_BLOCKS`` blocks is verified as a
@@ -254,17 +267,22 @@ def _links(members: DataFrame, sets: DataFrame, id_type: str) -> DataFrame:
         "near-parts",
     )
     small = parts.where(F.col("size") <= BLOCK).join(sets, "vertex").withColumn("part", F.lit(""))
-    return _grouped(small, id_type).unionByName(
-        _hot_links(parts.where(F.col("size") > BLOCK).select("key", "vertex"), sets, id_type)
+    return _grouped(small, id_type, percent).unionByName(
+        _hot_links(parts.where(F.col("size") > BLOCK).select("key", "vertex"), sets, id_type, percent)
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``."""
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rows: int = ROWS
+) -> DataFrame:
+    """Per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``; links are at ``percent`` or more.
+
+    Bands of ``rows`` slots choose what is compared: fewer rows for a lower ``percent``.
+    """
     texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     signed = write_through(
-        texts.mapInArrow(_sign, f"id {id_type}, n long, set1 long, set2 long, bands array<long>"), "near-signed"
+        texts.mapInArrow(_sign(rows), f"id {id_type}, n long, set1 long, set2 long, bands array<long>"), "near-signed"
     )
     known = signed.where("n > 0 and id is not null")
     vertices = write_through(
@@ -288,7 +306,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .mapInArrow(_sets, f"vertex {id_type}, shingles binary"),
         "near-sets",
     )
-    named = components(_links(members, sets, id_type))
+    named = components(_links(members, sets, id_type, percent))
     groups_ = vertices.join(named.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
     # Only sets that several rows share or that a link touches can differ from their row's own id.
     groups_ = groups_.where("copies > 1 or component is not null").select(
@@ -308,11 +326,12 @@ def op7_near_dedup(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: one document of each group stays; of rows that repeat an id, one.
+    """Pipeline stage: one document of each group, linked at ``STAGE_PERCENT``, stays; of rows that repeat an id, one.
 
     Rows of one id are one document here, which stays if one of its rows does.
     """
-    found = near_groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = near_groups(docs, percent=STAGE_PERCENT, rows=STAGE_ROWS).where("doc_id is not null")
+    found = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     found = write_through(found.where("not kept or n > 1"), "near-result")
     gone = found.where("not kept").select("doc_id")
     repeated = found.where("kept").select("doc_id")

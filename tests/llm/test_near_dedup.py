@@ -131,3 +131,20 @@ def test_components(spark):
     got = {(r["id"], r["component"]) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(x, root(x)) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stage_links_from_80_percent_on(spark):
+    """Pairs of 95 words that differ in one run: 91 shingles each, so ``n`` changed words give (87-n)/(95+n)."""
+    rng = random.Random(11)
+    rows, similarity = [], {}
+    for k, changed in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12] * 4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(95)]
+        other = base[:40] + [f"e{rng.randrange(10**6)}" for _ in range(changed)] + base[40 + changed :]
+        rows += [(2 * k, " ".join(base), "en", "s", 0), (2 * k + 1, " ".join(other), "en", "s", 0)]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        similarity[2 * k + 1] = 100 * len(a & b) / len(a | b)
+    assert any(80 <= x < 85 for x in similarity.values()) and any(x < 80 for x in similarity.values())
+    left = {r["doc_id"] for r in near_dedup.stage(spark, frame(spark, rows), "").collect()}
+    assert left == {r[0] for r in rows if similarity.get(r[0], 0) < 80}
+    kept = {r["doc_id"] for r in near_dedup.near_groups(frame(spark, rows)).where("kept").collect()}
+    assert kept == {r[0] for r in rows if similarity.get(r[0], 0) < 85}
