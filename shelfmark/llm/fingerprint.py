@@ -53,13 +53,19 @@ def fingerprint(points: np.ndarray, k: int = K, bins: int = BINS, pick: int = PI
         return result
     low = U(max(1, (n - 1).bit_length()))
     place_mask = (U(1) << low) - U(1)
-    # Sorted by k-mer, then place: the number within a run is the occurrence.
+    # Sorted by k-mer, then place: the number within a run is the occurrence.  The packed word, whose cleared
+    # bits follow the text's length, gives the order only.
     packed = (kmers & ~place_mask) | np.arange(n, dtype=U)
     packed.sort()
-    place, kmer = packed & place_mask, packed & ~place_mask
+    place = packed & place_mask
+    kmer = kmers[place]
     at = np.arange(n)
     fresh = np.ones(n, bool)
     fresh[1:] = kmer[1:] != kmer[:-1]
+    if (fresh[1:] & ((packed[1:] ^ packed[:-1]) <= place_mask)).any():  # k-mers that differ in cleared bits only
+        place = np.argsort(kmers, kind="stable").astype(U)
+        kmer = kmers[place]
+        fresh[1:] = kmer[1:] != kmer[:-1]
     number = at - np.maximum.accumulate(np.where(fresh, at, 0))
     value = mixed(kmer + (number + 1).astype(U) * STEP)
     shift = U(bins.bit_length() - 1)

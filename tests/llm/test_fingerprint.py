@@ -76,3 +76,40 @@ def test_order_and_distance_matter():
     assert edits[0] == 1 and edits == sorted(edits, reverse=True) and edits[-1] < 0.2
     assert near(text, swapped) < 0.95  # equal k-mers but for the seams, other order
     assert near("", "") == 1 and near("", text) == 0 and near("ab", "ab") == 1
+
+
+def slow_whole(text, k=fp.K, bins=fp.BINS, pick=fp.PICK):
+    """The signature with values of whole k-mer hashes, k-mer by k-mer."""
+    hashes = fp.kmer_hashes(fp.code_points(text))
+    seen, per_bin = {}, [[] for _ in range(bins)]
+    for place, h in enumerate(hashes.tolist()):
+        seen[h] = seen.get(h, 0) + 1
+        value = int(mixed(np.array([h], U) + np.array([seen[h]], U) * STEP)[0])
+        per_bin[value >> 58].append((value, place))
+    out = []
+    for entries in per_bin:
+        t = np.zeros(1, U)
+        for place in sorted(p for _, p in sorted(entries)[:pick]):
+            t = mixed(t * STEP + hashes[place : place + 1])
+        out.append(max(1, int(t[0]) >> 32) if entries else 0)
+    return out
+
+
+def test_equals_slow_version_of_whole_hashes():
+    for r in awkward():
+        assert fp.fingerprint(fp.code_points(r[1] or "")).tolist() == (slow_whole(r[1]) if r[1] else [0] * fp.BINS)
+
+
+def test_likeness_across_powers_of_two():
+    rng = np.random.default_rng(5)
+    points = rng.integers(97, 123, 4200).astype(np.uint32)
+    texts = lambda n: fp.fingerprint(points[: n + fp.K - 1])
+    for a, b in ((2040, 2047), (2048, 2049), (2040, 2060), (4096, 4100)):
+        assert fp.likeness(texts(a), texts(b)) > 0.95
+
+
+def test_kmers_that_differ_in_low_bits_only(monkeypatch):
+    """Occurrences are counted by whole hashes, also where the packed words mix two k-mers."""
+    hashes = np.array([2**40 + x for x in (1, 2, 1, 2, 1, 3, 1, 2)], U)
+    monkeypatch.setattr(fp, "kmer_hashes", lambda points, k=fp.K: hashes)
+    assert fp.fingerprint(np.zeros(15, np.uint32)).tolist() == slow_whole("a" * 15)
