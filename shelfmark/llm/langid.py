@@ -3,7 +3,7 @@
 Windows of ``WINDOW`` bytes go through an embedding, filters of several widths (stride ``STRIDE``), the
 maximum over the window, and a softmax.  Training takes a sample of bounded size: about ``PER_LANGUAGE``
 labelled documents per language, drawn by hash, two excerpts each; the bound is a parameter and does not
-depend on the input.  Every text is then cut into windows from its first byte to its last; its probabilities
+depend on the input.  Copies of a text count once per language.  Every text is then cut into windows from its first byte to its last; its probabilities
 are the means over its windows, weighted by the bytes in them.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every
@@ -125,11 +125,12 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, per_language: int = PER
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    drawn = F.xxhash64("text")
+    distinct = rows.select("lang", drawn.alias("drawn")).distinct()
+    counts = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return [], None
-    drawn = F.xxhash64("text")
     share = F.element_at(
         F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 1.25 * per_language / counts[k]))]), F.col("lang")
     )
@@ -138,7 +139,8 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, per_language: int = PER
         "text", (F.pmod(F.xxhash64(F.lit(salt), "text"), F.greatest(F.length("text") - EXCERPT, F.lit(1))) + 1).cast("int"), F.lit(EXCERPT)
     )
     sample = sample.select("lang", "drawn", excerpt(1).alias("one"), excerpt(2).alias("two"))
-    collected = sample.limit(2 * per_language * len(languages)).collect()
+    # Equal rows but for two texts of one hash, of which the smaller excerpts stay.
+    collected = sample.groupBy("lang", "drawn").agg(F.min(F.struct("one", "two")).alias("cut")).select("lang", "drawn", "cut.*").collect()
     per_class: dict[str, list] = {k: [] for k in languages}
     for r in sorted(collected, key=lambda r: (r["lang"], r["drawn"])):
         if len(per_class[r["lang"]]) < per_language:

@@ -58,3 +58,16 @@ def test_stage(spark):
     kept = [r["doc_id"] for r in left.collect()]
     assert left.columns == docs.columns
     assert not {103, 104, 105, 111} & set(kept) and set(range(25)) <= set(kept) and kept.count(106) == 2
+
+
+def test_copies_count_once(spark, monkeypatch):
+    """A text with thousands of copies is one text of the sample, and no other row gives way to it."""
+    rows = [(i, f"{'the of and' if i % 2 else 'der die das'} word{i} {i * 7919}", "en" if i % 2 else "de", "s", 0) for i in range(60)]
+    copies = [(1000 + i, "one text again and again", "en", "s", 0) for i in range(4000)]
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, classes, n: seen.append((windows, classes)))
+    langid.learn(frame(spark, rows), "text", "lang", per_language=40)
+    langid.learn(frame(spark, rows + copies[:1]), "text", "lang", per_language=40)
+    langid.learn(frame(spark, rows + copies), "text", "lang", per_language=40)
+    assert [len(c) for _, c in seen] == [2 * 60, 2 * 61, 2 * 61]
+    assert (seen[1][0] == seen[2][0]).all() and (seen[1][1] == seen[2][1]).all()
