@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import BROADCAST_BYTES, bounded_batches, table
+from shelfmark.llm.common import BROADCAST_BYTES, bounded_batches, fresh, table
 from shelfmark.llm.components import components
 from shelfmark.llm.textbytes import (
     NOT_BLANK, STEP, U, distinct_by_text, groups, mixed, shingles, word_hashes, words,
@@ -326,19 +326,22 @@ def op7_near_dedup(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: one document of each group, linked at ``STAGE_PERCENT``, stays; of rows that repeat an id, one.
+    """Pipeline stage: one row of each group, linked at ``STAGE_PERCENT``, stays; rows with a null id stay.
 
-    Rows of one id are one document here, which stays if one of its rows does.
+    A row is its id and the hash of its text, so rows of one id with different texts are documents of their
+    own; of rows equal in both one stays.
     """
-    found = near_groups(docs, percent=STAGE_PERCENT, rows=STAGE_ROWS).where("doc_id is not null")
-    found = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    one, two = (fresh(docs, n) for n in ("near_id", "near_text"))
+    keys = F.col("doc_id").alias(one), F.xxhash64("text").alias(two)
+    rows = docs.where("doc_id is not null").select(F.struct(*keys).alias("row"), "text")
+    found = near_groups(rows, "row", percent=STAGE_PERCENT, rows=STAGE_ROWS).select("row.*", "kept")
+    found = found.groupBy(one, two).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     found = write_through(found.where("not kept or n > 1"), "near-result")
-    gone = found.where("not kept").select("doc_id")
-    repeated = found.where("kept").select("doc_id")
-    kept = docs.join(broadcast_if_small(gone, BROADCAST_BYTES), "doc_id", "left_anti")
-    repeated = broadcast_if_small(repeated, BROADCAST_BYTES)
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(
-        kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    gone = broadcast_if_small(found.where("not kept").select(one, two), BROADCAST_BYTES)
+    repeated = broadcast_if_small(found.where("kept").select(one, two), BROADCAST_BYTES)
+    kept = docs.withColumns({one: F.col("doc_id"), two: F.xxhash64("text")}).join(gone, [one, two], "left_anti")
+    return kept.join(repeated, [one, two], "left_anti").unionByName(
+        kept.join(repeated, [one, two], "left_semi").dropDuplicates([one, two])
     ).select(*docs.columns)
 
 

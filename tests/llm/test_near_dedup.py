@@ -148,3 +148,17 @@ def test_stage_links_from_80_percent_on(spark):
     assert left == {r[0] for r in rows if similarity.get(r[0], 0) < 80}
     kept = {r["doc_id"] for r in near_dedup.near_groups(frame(spark, rows)).where("kept").collect()}
     assert kept == {r[0] for r in rows if similarity.get(r[0], 0) < 85}
+
+
+def test_stage_decides_by_row(spark):
+    """Rows of one id: a text of its own stays, a copy or near copy of another row goes, equal rows leave one."""
+    rng = random.Random(12)
+    near = [r[1] for r in near_copies(rng, 4, edits=2)]
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4)]
+    texts = [(1, near[0]), (5, near[1]), (5, own[0]), (5, own[1]), (6, own[2]), (6, own[2]), (7, near[2]), (7, near[3]), (8, own[1])]
+    texts += [(9, f"{own[3]} a b"), (9, f"{own[3]} a c"), (10, None), (10, ""), (None, own[0]), (None, own[0])]
+    rows = [(i, t, "en", "s", 0) for i, t in texts]
+    left = [(r["doc_id"], r["text"]) for r in near_dedup.stage(spark, frame(spark, rows), "").collect()]
+    assert len([x for x in left if x[0] == 9]) == 1
+    want = [(1, near[0]), (5, own[0]), (5, own[1]), (6, own[2]), (10, None), (10, ""), (None, own[0]), (None, own[0])]
+    assert plain(x for x in left if x[0] != 9) == plain(want)
