@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontaminate, fingerprint, langid, lattice, line_dedup, mixing, near_dedup, pii, preference, warc
+from shelfmark.llm import (
+    decontaminate, fingerprint, langid, lattice, line_dedup, mixing, near_dedup, periodic, pii, preference, prefix_trie, substring, warc,
+)
 
 
 def queries():
@@ -17,6 +19,9 @@ def queries():
         "op8_language_id": langid.op8_language_id,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_warc": warc.op10_warc,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_substring": substring.op12_substring,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
 
@@ -28,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_dedup": near_dedup.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_warc": warc.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
+        "op12_substring": substring.ORACLE,
+        "op13_periodic_runs": periodic.ORACLE,
     }

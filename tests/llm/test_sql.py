@@ -17,4 +17,4 @@ def test_equals_sql(spark, name):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in llm.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
