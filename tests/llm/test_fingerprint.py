@@ -7,32 +7,6 @@ from shelfmark.llm.textbytes import STEP, U, mixed
 from tests.llm.helpers import awkward, frame, plain
 
 
-def slow(text, k=fp.K, bins=fp.BINS, pick=fp.PICK):
-    """The same signature, k-mer by k-mer."""
-    points = fp.code_points(text)
-    hashes = fp.kmer_hashes(points)
-    n = len(hashes)
-    mask = (1 << max(1, (n - 1).bit_length())) - 1
-    seen, per_bin = {}, [[] for _ in range(bins)]
-    for place, h in enumerate(hashes.tolist()):
-        kmer = h & ~mask
-        seen[kmer] = seen.get(kmer, 0) + 1
-        value = int(mixed(np.array([kmer], U) + np.array([seen[kmer]], U) * STEP)[0])
-        per_bin[value >> 58].append((value & ~mask, place))
-    out = []
-    for entries in per_bin:
-        t = np.zeros(1, U)
-        for place in sorted(p for _, p in sorted(entries)[:pick]):
-            t = mixed(t * STEP + hashes[place : place + 1])
-        out.append(max(1, int(t[0]) >> 32) if entries else 0)
-    return out
-
-
-def test_equals_slow_version():
-    for r in awkward():
-        assert fp.fingerprint(fp.code_points(r[1] or "")).tolist() == (slow(r[1]) if r[1] else [0] * fp.BINS)
-
-
 def brute(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     out = []
