@@ -2,19 +2,21 @@
 
 1. Every window of ``length`` words chooses its least k-gram (winnowing), so equal windows choose equal ones: an
    anchor.  The windows that chose one anchor occurrence form its segment, at most 2 * length - k words.
-2. Seeds: anchors that occur more than once, found by a count combined inside each batch and each task, are
-   joined to their occurrences.  Everything else is unique text and goes no further.
-3. Occurrences whose whole segments are equal form a class.  All but the first of a class repeat all their
-   windows; the first ones of an anchor with several classes are forks, the ends of maximal repeats.
-4. Extension: each fork is compared, word by word to the left and to the right, with the anchor's first
+2. Seeds: occurrences meet by anchor, in one shuffle of some 30 bytes for every seven words.  Those whose whole
+   segments are equal form a class: all but the first of a class repeat all their windows.  An anchor with
+   one occurrence is unique text and goes no further; the first ones of an anchor with several classes are
+   forks, the ends of maximal repeats.
+3. Extension: each fork is compared, word by word to the left and to the right, with the anchor's first
    occurrence, one comparison a fork.  Windows inside the match repeat it.
-5. The rest: windows of forks that the first occurrence doesn't hold may be held by another fork; they are
+4. The rest: windows of forks that the first occurrence doesn't hold may be held by another fork; they are
    matched exactly by the anchor, their place around it and the hash of all their words.
-6. Matches that touch or overlap are merged by document into maximal repeats and cut out.
+5. Matches that touch or overlap are merged by document into maximal repeats and cut out.
 
-No pairs within a group are formed: every step is a minimum by key, combined before the shuffle, and a join back of
-one row a key, whose long side adaptive execution splits where a key is hot.  A passage or an anchor may be
-in any share of the documents.
+No pairs within a group are formed.  Anchors of more than ``HOT`` occurrences, found by counters in a pass
+before, don't meet in one task: their classes are minima combined before the shuffle and joined back, and
+the first occurrence is copied to ``SALTS`` parts of its forks.  A passage or an anchor may thus be in any share
+of the documents.  What grows with the input is joined by shuffle at every size; only the list of hot
+anchors, at most ``MOST_HOT``, is broadcast.
 
 The earlier of two occurrences, by (id, hash of row, word), stays.  Defined cases: a null, empty or blank text has no
 words; a null id sorts first; rows of one id are ordered by a hash of their text, rows equal in both are one
@@ -28,13 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.llm.common import BROADCAST_BYTES, bounded_batches, table
 from shelfmark.llm.textbytes import BYTE_VALUES, NOT_BLANK, STEP, U, groups, mixed, powers, word_hashes, words
+from shelfmark.operators.features import Counters
 from shelfmark.session import broadcast_if_small, write_through
 
 LENGTH, GRAM = 20, 8
+#: An anchor is hot from so many occurrences on; a task reports what it has seen often, from ``COUNTERS`` counters.
+HOT, OFTEN, COUNTERS, MOST_HOT = 50_000, 8, 1 << 14, 1 << 20
+SALTS = 64
 #: Bits for the place of a word in a group of texts; the hash bits above them choose a window's k-gram.
 PLACE_BITS = U(28)
 
@@ -84,15 +90,18 @@ def _words(data, offsets, n_texts):
     return word_hashes(data, starts, ends, BYTE_VALUES), text, np.searchsorted(text, np.arange(n_texts + 1))
 
 
-def _count(length: int, gram: int):
-    """(anchor, n), combined by group of texts."""
+def _frequent(length: int, gram: int, often: int):
+    """(anchor, n): the anchors that a task has seen ``often`` or more, with lower bounds of how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = Counters(COUNTERS)
         for batch in batches:
             for a, b, data, offsets in groups(batch, "text"):
                 hashes, text, _ = _words(data, offsets, b - a)
                 anchor, count = np.unique(anchors(hashes, text, length, gram)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(count)], ["anchor", "n"])
+                counters.add(anchor, anchor, count)
+        kept = counters.low >= often
+        yield pa.RecordBatch.from_arrays([_signed(counters.one[kept]), pa.array(counters.low[kept])], ["anchor", "n"])
 
     return run
 
@@ -126,7 +135,7 @@ def _segments(length: int, gram: int):
                 hashes, text, bounds = _words(data, offsets, b - a)
                 forks = batch.column("forks").slice(a, b - a)
                 owner = np.repeat(np.arange(b - a), np.diff(forks.offsets.to_numpy()))
-                anchor, packed = forks.flatten().flatten()
+                anchor, packed, first = forks.flatten().flatten()
                 place = packed.to_numpy()
                 column = np.arange(-reach, length)
                 inside = (column >= -(place >> 8 & 255)[:, None]) & (column < length - (place & 255)[:, None])
@@ -136,10 +145,10 @@ def _segments(length: int, gram: int):
                 size = 8 * len(column)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        anchor, batch.column("id").take(rows), batch.column("row").take(rows), packed,
+                        anchor, batch.column("id").take(rows), batch.column("row").take(rows), packed, first,
                         pa.Array.from_buffers(pa.binary(size), len(held), [None, pa.py_buffer(np.ascontiguousarray(held))]).cast(pa.binary()),
                     ],
-                    ["anchor", "id", "row", "place", "held"],
+                    ["anchor", "id", "row", "place", "first", "held"],
                 )
 
     return run
@@ -158,17 +167,27 @@ def extent(one: np.ndarray, two: np.ndarray, reach: int, gram: int) -> tuple[np.
 
 
 def _extend(length: int, gram: int):
-    """Matches (start, end) with the anchor's first occurrence, and the windows it doesn't hold (offset, window)."""
+    """Matches (start, end) with the anchor's first occurrence, and the windows it doesn't hold (offset, window).
+
+    Rows come sorted by anchor and part, the first occurrence before the others.
+    """
     reach = length - gram
     width = reach + length
     factors = mixed(np.arange(1, length + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = np.zeros((1, width), U)
         for batch in batches:
+            first = batch.column("first").to_numpy(zero_copy_only=False)
+            held = np.concatenate([current, _matrix(batch.column("held"), width)])
+            # The row of ``held`` with the latest first occurrence, for every row.
+            latest = np.maximum.accumulate(np.where(np.concatenate([[True], first]), np.arange(len(held)), 0))
+            current = held[latest[-1:]]
+            batch = batch.filter(pa.array(~first))
             if not batch.num_rows:
                 continue
-            held = _matrix(batch.column("held"), width)
-            left, right = extent(held, _matrix(batch.column("first_held"), width), reach, gram)
+            firsts, held = held[latest[1:][~first]], held[1:][~first]
+            left, right = extent(held, firsts, reach, gram)
             place = batch.column("place").to_numpy()
             most, least = place >> 8 & 255, place & 255
             # Windows that begin ``offset`` words before the anchor, from ``low`` to ``high``, are matched.
@@ -205,6 +224,36 @@ def _firsts(rows: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
     return write_through(rows.groupBy(*keys).agg(F.count("*").alias("n"), first), name)
 
 
+def _seeds(found: DataFrame) -> DataFrame:
+    """Of occurrences (anchor, segment, id, row, place) of repeated anchors: those that are later in their class, and
+    the first ones of classes where the anchor has several; ``first`` marks the anchor's first occurrence."""
+    here = F.struct("id", "row", F.col("place").alias("at"))
+    in_class = Window.partitionBy("anchor", "segment").orderBy("id", "row", "place")
+    of_anchor = Window.partitionBy("anchor")
+    marked = found.select(
+        "anchor", "id", "row", "place",
+        (F.rank().over(in_class) > 1).alias("later"),
+        (F.min("segment").over(of_anchor) != F.max("segment").over(of_anchor)).alias("several"),
+        here.eqNullSafe(F.min(here).over(of_anchor)).alias("first"),
+    )
+    return marked.where("later or several").select("anchor", "id", "row", "place", "later", "first")
+
+
+def _hot_seeds(found: DataFrame) -> DataFrame:
+    """The same for anchors too frequent for one task."""
+    found = write_through(found, "repeat-hot")
+    classes = _firsts(found, ["anchor", "segment"], "place", "repeat-classes")
+    later = _later(found, ["anchor", "segment"], "place", classes)
+    of_anchor = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("first").alias("least")).where("classes > 1")
+    forks = classes.join(broadcast_if_small(write_through(of_anchor, "repeat-forked"), BROADCAST_BYTES), "anchor")
+    return later.select("anchor", "id", "row", "place", F.lit(True).alias("later"), F.lit(False).alias("first")).unionByName(
+        forks.select(
+            "anchor", "first.id", "first.row", F.col("first.at").alias("place"), F.lit(False).alias("later"),
+            F.col("first").eqNullSafe(F.col("least")).alias("first"),
+        )
+    )
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, row, spans) of the rows that repeat an earlier passage of ``length`` words or more, written.
 
@@ -214,31 +263,35 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")
     )
     id_type = texts.schema["id"].dataType.simpleString()
-    counts = texts.select("text").mapInArrow(_count(length, gram), "anchor long, n long")
-    repeated = write_through(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeat-anchors")
+    often = texts.select("text").mapInArrow(_frequent(length, gram, min(OFTEN, HOT)), "anchor long, n long")
+    hot = often.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).orderBy(F.desc("n"), "anchor").limit(MOST_HOT)
+    hot = write_through(hot.select("anchor"), "repeat-anchors")
     found = texts.mapInArrow(_occurrences(length, gram), f"anchor long, segment long, id {id_type}, row long, place long")
-    seeds = write_through(found.join(broadcast_if_small(repeated, BROADCAST_BYTES), "anchor"), "repeat-seeds")
+    seeds = _seeds(found.join(F.broadcast(hot), "anchor", "left_anti"))
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        seeds = seeds.unionByName(_hot_seeds(found.join(F.broadcast(hot), "anchor", "left_semi")))
+    seeds = write_through(seeds, "repeat-seeds")
 
-    classes = _firsts(seeds, ["anchor", "segment"], "place", "repeat-classes")
     word, most, least = (F.expr(x) for x in ("shiftright(place, 16)", "shiftright(place, 8) & 255", "place & 255"))
-    whole = _later(seeds, ["anchor", "segment"], "place", classes).select(
-        "id", "row", (word - most).alias("start"), (word - least + length).alias("end")
+    whole = seeds.where("later").select("id", "row", (word - most).alias("start"), (word - least + length).alias("end"))
+    # Rows equal in id and text give equal forks.
+    by_row = seeds.where("not later").groupBy("id", "row").agg(F.collect_set(F.struct("anchor", "place", "first")).alias("forks"))
+    forked = _with_row(texts, by_row, "inner").dropDuplicates(["row", "id"]) if _repeated(docs, id_col) else _with_row(texts, by_row, "inner")
+    held = forked.select("id", "row", "text", "forks").mapInArrow(
+        _segments(length, gram), f"anchor long, id {id_type}, row long, place long, first boolean, held binary"
     )
-
-    forked = write_through(classes.groupBy("anchor").count().where("count > 1").select("anchor"), "repeat-forked")
-    forks = classes.join(broadcast_if_small(forked, BROADCAST_BYTES), "anchor").select("anchor", "first.id", "first.row", F.col("first.at").alias("place"))
-    by_row = write_through(
-        forks.groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "place")).alias("forks")), "repeat-forks"
-    )
-    held = _with_row(texts, by_row, "inner").select("id", "row", "text", "forks").mapInArrow(
-        _segments(length, gram), f"anchor long, id {id_type}, row long, place long, held binary"
-    )
-    # Rows equal in id and text give equal rows here.
-    held = write_through(held.dropDuplicates(["anchor", "id", "row", "place"]), "repeat-held")
-    first = held.groupBy("anchor").agg(F.min(F.struct("id", "row", "place", "held")).alias("first"))
-    compared = held.join(first, "anchor").where(~F.struct("id", "row", "place", "held").eqNullSafe(F.col("first")))
+    if any_hot:
+        held = held.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left")
+        parts = F.when(F.col("hot") & F.col("first"), F.sequence(F.lit(0), F.lit(SALTS - 1))).when(
+            F.col("hot"), F.array(F.pmod("row", F.lit(SALTS)).cast("int"))
+        )
+        held = held.withColumn("part", F.explode(F.coalesce(parts, F.array(F.lit(0)))))
+    else:
+        held = held.withColumn("part", F.lit(0))
+    together = held.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("first"))
     extended = write_through(
-        compared.select("anchor", "id", "row", "place", "held", F.col("first.held").alias("first_held")).mapInArrow(
+        bounded_batches(together.select("anchor", "id", "row", "place", "first", "held")).mapInArrow(
             _extend(length, gram), f"anchor long, id {id_type}, row long, offset long, window long, start long, end long"
         ),
         "repeat-extended",
@@ -253,9 +306,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _repeated(docs: DataFrame, id_col: str) -> bool:
+    """Whether any id, or none, is that of several rows."""
+    return not docs.groupBy(id_col).count().where("count > 1").isEmpty()
+
+
 def _with_row(texts: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """``texts`` (id, row, ...) with the columns of ``side`` (id, row, ...)."""
-    side = broadcast_if_small(side, BROADCAST_BYTES).withColumnsRenamed({"id": "side_id", "row": "side_row"})
+    """``texts`` (id, row, ...) with the columns of ``side`` (id, row, ...), by shuffle at every size."""
+    side = side.withColumnsRenamed({"id": "side_id", "row": "side_row"}).hint("shuffle_hash")
     same: Column = (F.col("row") == F.col("side_row")) & F.col("id").eqNullSafe(F.col("side_id"))
     return texts.join(side, same, how).drop("side_id", "side_row")
 
