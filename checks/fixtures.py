@@ -15,10 +15,10 @@ def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, column: str, rank: str) -> DataFrame:
-    """``rows`` with the rank of ``column`` among its distinct values (a short list)."""
-    values = rows.select(column).distinct()
-    ranks = values.select(column, F.row_number().over(Window.orderBy(column)).cast("long").alias(rank))
-    return rows.join(ranks, column)
+    """``rows`` with the rank of ``column`` among its distinct values (a short list); null is the last of them."""
+    values = rows.select(F.col(column).alias("value")).distinct()
+    ranks = values.select("value", F.row_number().over(Window.orderBy(F.col("value").asc_nulls_last())).cast("long").alias(rank))
+    return rows.join(ranks, F.col(column).eqNullSafe(F.col("value"))).drop("value")
 
 
 def offers_part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,3 +122,8 @@ def lemma_table(words: DataFrame) -> DataFrame:
     return words.toDF("word").where("word != ''").distinct().select(
         "word", F.expr("if(length(word) >= 5, left(word, length(word) - 2), word)").alias("lemma")
     )
+
+
+def left_out(word: Column) -> Column:
+    """A fifth of the words, by their length and first character."""
+    return (F.length(word) + F.ascii(word)) % 5 == 0

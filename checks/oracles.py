@@ -369,6 +369,21 @@ with w as (select doc_id, unnest(string_split({clean_text('text')}, ' ')) as wor
 select doc_id as row_id,
   string_agg(case when length(word) >= 5 then left(word, length(word) - 2) else word end, ' ' order by pos) as lemmatised
 from w group by 1""",
+        "lemma_unknown": f"""
+with w as (select doc_id, unnest(string_split({clean_text('text')}, ' ')) as word,
+        generate_subscripts(string_split({clean_text('text')}, ' '), 1) as pos from documents),
+v as (select distinct word from w where word <> ''),
+d as (select word, case when length(word) >= 5 then left(word, length(word) - 2) else word end as lemma
+      from v where (length(word) + ascii(word)) % 5 <> 0),
+r as (select word, case when starts_with(word, lemma) then length(word) - length(lemma) end as cut from d),
+e as (select right(word, n) as ending, cut, count(*) as words from r, range(1, 6) t(n) where n >= cut and n < length(word) group by all),
+b as (select ending, arg_min(cut, (-words, cut)) as cut from e group by 1),
+u as (select word, arg_max(left(word, length(word) - cut), n) as lemma
+      from (select word, n, cut from v, range(1, 6) t(n), b where n < length(word) and b.ending = right(word, n))
+      where not regexp_matches(word, '[0-9]') and word not in (select word from d) group by 1),
+f as (select * from d union all select * from u)
+select doc_id as row_id, string_agg(coalesce(lemma, w.word), ' ' order by pos) as lemmatised
+from w left join f on f.word = w.word group by 1""",
         "vendor_clean": f"with {OFFERS_PART} select row_id, {vendor('vendor_name')} as vendor from offers",
         "category_leaf": f"with {OFFERS_PART} select row_id, {leaf('shop_category_name')} as leaf from offers",
         "shop_category_clean": f"""with {OFFERS_PART} select row_id, {shop_category('shop_category_name')} as category_field,

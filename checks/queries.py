@@ -90,6 +90,15 @@ def lemma_join(spark, sf):
     return lemma.lemmatise(docs, ["lemmatised"], forms)
 
 
+def lemma_unknown(spark, sf):
+    """As ``lemma_join``, with a part of the words left out of the dictionary: their endings decide."""
+    docs = fx.dealt(spark, sf, "documents", "doc_id").select(
+        F.col("doc_id").alias("row_id"), text.clean_text(F.col("text")).alias("lemmatised")
+    )
+    forms = fx.lemma_table(docs.select(F.explode(F.split("lemmatised", " ", -1))))
+    return lemma.lemmatise(docs, ["lemmatised"], forms.where(~fx.left_out(F.col("word"))))
+
+
 def vendor_clean(spark, sf):
     return fx.offers_part(spark, sf).select("row_id", text.vendor_field(F.col("vendor_name")).alias("vendor"))
 
@@ -122,10 +131,11 @@ def _prepared(spark, sf):
 
 def flag_tokens(spark, sf):
     lowered, words = F.col("title_lower"), F.col("title_words")
+    seen = {"starts": F.col("title_starts"), "digits": F.col("title_digits")}
     return _prepared(spark, sf).select(
         "row_id",
-        text.title_tokens(lowered, words).alias("tokens"),
-        text.title_tokens(lowered, words, fx.LATIN_UNITS, fx.LATIN_TYPES).alias("latin_tokens"),
+        text.title_tokens(lowered, words, **seen).alias("tokens"),
+        text.title_tokens(lowered, words, fx.LATIN_UNITS, fx.LATIN_TYPES, **seen).alias("latin_tokens"),
     )
 
 
@@ -219,12 +229,12 @@ def char_wb_ngrams(spark, sf):
 
 def vocab_top_n(spark, sf):
     blocks = [features.CATEGORY]
-    counts = write_through(features.corpus_counts(_docs(spark, sf), blocks), "term-counts")
-    return features.top_terms(counts, blocks).drop("block")
+    counts = features.candidate_counts(write_through(_docs(spark, sf), "texts"), blocks)
+    return features.top_terms(counts, blocks).select("term", "df", "ctf")
 
 
 def idf(spark, sf):
-    return features.vocabulary(_docs(spark, sf), [features.DEPARTMENT_CHARS]).select(
+    return features.vocabulary(write_through(_docs(spark, sf), "texts"), [features.DEPARTMENT_CHARS]).select(
         "term", "df", F.round("idf", 6).alias("idf")
     )
 
@@ -338,7 +348,7 @@ def department_fill(spark, sf):
     categorised = rules.apply_rules(held, rules.category_rules(train)).select(
         "row_id", F.col("rule_category").alias("category_id")
     )
-    model = departments.DepartmentModel(dict.fromkeys((1, 2, 3, 4)))
+    model = departments.DepartmentModel([1, 2, 3, 4])
 
     def margins_of(rows):
         return rows.select("row_id", F.array(*[(F.col("row_id") * (2 * d + 1) % 17).cast("double") for d in range(4)]).alias("margins"))
@@ -434,6 +444,7 @@ def queries() -> dict:
         "clean_text": clean_text,
         "clean_desc": clean_desc,
         "lemma_join": lemma_join,
+        "lemma_unknown": lemma_unknown,
         "vendor_clean": vendor_clean,
         "category_leaf": category_leaf,
         "shop_category_clean": shop_category_clean,

@@ -133,9 +133,40 @@ def occurs(lowered: Column, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
-def flag_tokens(lowered: Column, flags) -> list[Column]:
-    """One nullable column per ``(token, pattern)``: the token where the pattern occurs."""
-    return [F.when(occurs(lowered, pattern), F.lit(token)) for token, pattern in flags]
+def word_starts(lowered: Column) -> Column:
+    """The first two letters of the words of a text, each once; a word is a run of letters here."""
+    words = F.filter(F.split(lowered, r"[^\p{L}]+", -1), lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 2)))
+
+
+def has_digit(lowered: Column) -> Column:
+    return lowered.rlike(r"(?U)\d")
+
+
+def stem_starts(pattern: str) -> list[str] | None:
+    """The two letters with which each alternative of ``\\b(...)`` begins, or None where that isn't plain to see."""
+    group = re.fullmatch(r"\\b\(([^()]*)\)", pattern)
+    stems = group[1].split("|") if group else []
+    plain = [s for s in stems if re.match(r"[^\W\d_]{2}(?![?*{])", s)]
+    return sorted({s[:2] for s in stems}) if stems and plain == stems else None
+
+
+def flag_tokens(lowered: Column, flags, starts: Column | None = None, digits: Column | None = None) -> list[Column]:
+    """One nullable column per ``(token, pattern)``: the token where the pattern occurs.
+
+    With ``starts`` (``word_starts``) a pattern of stems is searched only where one of its stems can begin, with
+    ``digits`` (``has_digit``) a pattern that begins with a digit only where there is one: one look at a text
+    takes the place of most searches.
+    """
+    def found(pattern: str) -> Column:
+        begin = stem_starts(pattern) if starts is not None else None
+        if begin:
+            return F.arrays_overlap(starts, F.array(*[F.lit(b) for b in begin])) & occurs(lowered, pattern)
+        if digits is not None and pattern.startswith(r"\d"):
+            return digits & occurs(lowered, pattern)
+        return occurs(lowered, pattern)
+
+    return [F.when(found(pattern), F.lit(token)) for token, pattern in flags]
 
 
 def lowered_title(title: Column) -> Column:
@@ -151,17 +182,19 @@ def title_tokens(
     words: Column,
     unit_flags=lexicon.UNIT_FLAGS,
     type_flags=lexicon.TYPE_FLAGS,
+    starts: Column | None = None,
+    digits: Column | None = None,
 ) -> Column:
     """First word, first two words, unit flags and type flags, blank-separated.
 
-    ``lowered`` is ``lowered_title`` and ``words`` is ``head_words`` of the title;
-    both are read many times, so give them as columns of the input.
+    ``lowered`` is ``lowered_title`` and ``words`` is ``head_words`` of the title, ``starts`` and ``digits`` are as in
+    ``flag_tokens``; all are read many times, so give them as columns of the input.
     """
     found = [
         first_word_token(words),
         first_two_words_token(words),
-        *flag_tokens(lowered, unit_flags),
-        *flag_tokens(lowered, type_flags),
+        *flag_tokens(lowered, unit_flags, starts, digits),
+        *flag_tokens(lowered, type_flags, starts, digits),
     ]
     return (
         F.when(lowered.isNull() | (lowered == ""), "")
@@ -203,12 +236,16 @@ def rule_key(a: Column, b: Column) -> Column:
 
 # Shared by several expressions below, so computed once ahead of them.
 PREPARED_FIELDS = {
+    "title_starts": lambda: word_starts(lowered_title(F.col("title"))),
+    "title_digits": lambda: has_digit(lowered_title(F.col("title"))),
     "title_lower": lambda: lowered_title(F.col("title")),
     "title_words": lambda: head_words(F.col("title")),
     "description_lower": lambda: lowered_description(F.col("description")),
 }
 FLAG_FIELDS = {
-    "title_flags": lambda: title_tokens(F.col("title_lower"), F.col("title_words")),
+    "title_flags": lambda: title_tokens(
+        F.col("title_lower"), F.col("title_words"), starts=F.col("title_starts"), digits=F.col("title_digits")
+    ),
     "description_flags": lambda: description_tokens(
         F.col("description"), F.col("description_lower")
     ),

@@ -8,17 +8,31 @@ blocks side by side.
 Vectors are packed, one row each: ``row_id, indices array<int>, weights
 array<double>``.  Within a block, positions are numbered from the rarest term to
 the most common one.
+
+Terms travel as two 64-bit hashes; only terms that may enter the vocabulary become strings again, in a
+second look at the texts (see ``candidate_counts``).  Texts are never shuffled: a task counts the terms
+inside each of its rows, and a learnt vocabulary, whose size is a parameter, goes to the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.functions import tokens
-from shelfmark.session import broadcast_if_small, write_through
+from shelfmark.operators import ngrams
+from shelfmark.operators.ngrams import U, signed
+from shelfmark.session import BROADCAST_LIMIT, bounded_batches, broadcast_if_small, write_through
+
+#: Counters a task keeps per block while it looks for frequent terms.
+COUNTERS = 1 << 20
+#: Bytes of one term in a task's lookup table.
+TERM_BYTES = 28
 
 
 @dataclass(frozen=True)
@@ -31,14 +45,15 @@ class Block:
     min_df: int = 1
     characters: bool = False
 
-    def units(self) -> Column:
-        """The words of the text, from which the n-grams are cut."""
-        cut = tokens.padded_words if self.characters else tokens.words
-        return cut(F.col(self.text)).alias(self.name)
+    def joined(self) -> Column:
+        """The words of the text in one string, from which the n-grams are cut."""
+        text = F.coalesce(F.col(self.text), F.lit(""))
+        found = tokens.padded_words(text) if self.characters else tokens.words(text)
+        return F.array_join(found, "" if self.characters else " ").alias(self.name)
 
-    def terms(self) -> Column:
-        grams = tokens.char_ngrams if self.characters else tokens.word_ngrams
-        return grams(F.col(self.name), self.low, self.high)
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        cut = ngrams.character_pieces if self.characters else ngrams.word_pieces
+        return cut(data, offsets, self.low, self.high)
 
 
 CATEGORY = Block("category", "category_text", 1, 2, 50_000)
@@ -49,52 +64,176 @@ DEPARTMENT_CHARS = Block(
 DEPARTMENT = (DEPARTMENT_WORDS, DEPARTMENT_CHARS)
 
 
-def term_counts(docs: DataFrame, blocks) -> DataFrame:
-    """``row_id, block, term, tf``: how often each term occurs in each text.
+def _joined(docs: DataFrame, blocks, *keep: str) -> DataFrame:
+    return bounded_batches(docs.select(*keep, *[b.joined() for b in blocks]))
 
-    The texts are partitioned by ``row_id`` before they are split into terms,
-    so the only shuffle moves texts, not terms, and every later group by
-    ``row_id`` finds its rows in place.
-    """
-    def tagged(b: Block):
-        name = F.lit(b.name).alias("block")
-        return F.transform(b.terms(), lambda t: F.struct(name, t.alias("term")))
-
-    return (
-        docs.select("row_id", *dict.fromkeys(b.text for b in blocks))
-        .repartition(F.col("row_id"))
-        .select("row_id", *[b.units() for b in blocks])
-        .select("row_id", F.explode(F.concat(*[tagged(b) for b in blocks])).alias("x"))
-        .groupBy("row_id", F.col("x.block").alias("block"), F.col("x.term").alias("term"))
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+
+def _row_terms(batch: pa.RecordBatch, block: Block) -> Iterator[tuple]:
+    """Per group of texts: the bytes, and start, end, row, hashes and count of each distinct term of each row."""
+    for row, _, data, offsets in ngrams.text_groups(batch.column(block.name)):
+        start, end, text = block.pieces(data, offsets)
+        one, two = ngrams.hashed(data, start, end)
+        place, tf = ngrams.counted(text, one)
+        yield data, start[place], end[place], text[place] + row, one[place], two[place], tf
+
+
+def _by_term(one: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place of one occurrence of each distinct hash, and the sums of ``values``."""
+    order = np.argsort(one)
+    at = np.flatnonzero(np.concatenate([[True], one[order][1:] != one[order][:-1]])[: len(order)])
+    return order[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)
+
+
+def _counted_terms(blocks, candidates=None):
+    """(block, term, h1, h2, df, ctf) of the terms of each group of texts, or of those in ``candidates``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks:
+                for data, start, end, _, one, two, tf in _row_terms(batch, b):
+                    if candidates is not None:
+                        wanted = candidates.value[b.name]
+                        at = np.searchsorted(wanted, one)
+                        here = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == one) if len(wanted) else at[:0]
+                        start, end, one, two, tf = (x[here] for x in (start, end, one, two, tf))
+                    place, df, ctf = _by_term(one, np.ones(len(one), np.int64), tf)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([b.name]).take(pa.array(np.zeros(len(place), np.int64))), ngrams.cut(data, start[place], end[place]),
+                            signed(one[place]), signed(two[place]), pa.array(df), pa.array(ctf),
+                        ],
+                        ["block", "term", "h1", "h2", "df", "ctf"],
+                    )
+
+    return run
+
+
+COUNTED = "block string, term string, h1 long, h2 long, df long, ctf long"
 
 
 def corpus_counts(docs: DataFrame, blocks) -> DataFrame:
-    """``block, term, df, ctf``: rows holding the term and occurrences in all.
+    """``block, term, df, ctf``: rows holding the term and occurrences in all, of every term.
 
-    Both counts come out of one aggregation by term: each row contributes its
-    terms once with repeats and once without, so common terms shrink to one
-    partial row per map task before the shuffle.
+    Each row gives a term once, with its count; rows are combined inside a task's groups of texts.
     """
-    def tagged(b: Block):
-        t = b.terms()
-        name = F.lit(b.name).alias("block")
-        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-        return [
-            F.transform(t, lambda x: F.struct(name, x.alias("term"), zero.alias("df"), one.alias("ctf"))),
-            F.transform(
-                F.array_distinct(t),
-                lambda x: F.struct(name, x.alias("term"), one.alias("df"), zero.alias("ctf")),
-            ),
-        ]
-
-    return (
-        docs.select(*[b.units() for b in blocks])
-        .select(F.explode(F.concat(*[a for b in blocks for a in tagged(b)])).alias("x"))
-        .groupBy(F.col("x.block").alias("block"), F.col("x.term").alias("term"))
-        .agg(F.sum("x.df").alias("df"), F.sum("x.ctf").alias("ctf"))
+    found = _joined(docs, blocks).mapInArrow(_counted_terms(blocks), COUNTED)
+    return found.groupBy("block", "term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+
+
+class Counters:
+    """Misra-Gries counters: terms with lower bounds of their counts; a true count is at most ``error`` higher."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.error = capacity, 0
+        self.one = self.two = np.zeros(0, U)
+        self.low = np.zeros(0, np.int64)
+
+    def add(self, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> None:
+        one, two, n = (np.concatenate(x) for x in ((self.one, one), (self.two, two), (self.low, n)))
+        place, n = _by_term(one, n)
+        one, two = one[place], two[place]
+        if len(n) > self.capacity:
+            cut = int(np.partition(n, len(n) - self.capacity - 1)[len(n) - self.capacity - 1])
+            self.error += cut
+            kept = n > cut
+            one, two, n = one[kept], two[kept], n[kept] - cut
+        self.one, self.two, self.low = one, two, n
+
+
+def _sketch(blocks, capacity: int):
+    """(block, h1, h2, low): a task's frequent terms; the row without hashes has its error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = {b.name: Counters(capacity) for b in blocks}
+        for batch in batches:
+            for b in blocks:
+                for _, _, _, _, one, two, tf in _row_terms(batch, b):
+                    place, ctf = _by_term(one, tf)
+                    counters[b.name].add(one[place], two[place], ctf)
+        for name, c in counters.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(c.one), pa.string()), signed(c.one), signed(c.two), pa.array(c.low)], ["block", "h1", "h2", "low"]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([c.error], pa.int64())],
+                ["block", "h1", "h2", "low"],
+            )
+
+    return run
+
+
+def candidate_counts(docs: DataFrame, blocks, capacity: int = COUNTERS, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Exact ``block, term, h1, h2, df, ctf`` of all terms that can be among the most frequent ones, written.
+
+    1. Each task counts into ``capacity`` counters and reports them with the most a missing term can have; only
+       these are shuffled.
+    2. The n-th largest lower bound is a floor under the n-th largest count.  Terms whose upper bound reaches it
+       are candidates; their exact counts and their strings come from a second look at the texts.
+    3. Proof: if the n-th candidate's count is above what any other term can have, none is missing.  If not, or if
+       the candidates exceed ``limit`` bytes, all terms are counted.
+    """
+    texts = _joined(docs, blocks)
+    sketch = texts.mapInArrow(_sketch(blocks, capacity), "block string, h1 long, h2 long, low long")
+    sketch = write_through(sketch.groupBy("block", "h1", "h2").agg(F.sum("low").alias("low")), "term-sketch")
+    error = {r["block"]: r["low"] for r in sketch.where("h1 is null").collect()}  # one row per block
+    known = sketch.where("h1 is not null")
+    # A block with a document floor looks further down, since terms below the floor don't count.
+    wanted = {b.name: b.max_features if b.min_df == 1 else b.max_features + b.max_features // 4 for b in blocks}
+    floors = _cuts(known.select("block", F.col("low").alias("ctf")), wanted)
+    bound = {n: floors[n][0] - error.get(n, 0) if n in floors else 0 for n in wanted}
+    at_least = reduce(lambda acc, n: acc.when(F.col("block") == n, bound[n]), wanted, F)
+    chosen = known.where(F.col("low") >= at_least)
+    sizes = {r["block"]: r["n"] for r in chosen.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # A term without a counter has at most the error; one below the bound has less than the floor.
+    complete = all(error.get(n, 0) == 0 or (n in floors and error[n] < floors[n][0]) for n in wanted)
+    if complete and 8 * sum(sizes.values()) <= limit:
+        parts = {n: [] for n in wanted}
+        for batch in chosen.select("block", "h1").toArrow().to_batches():  # at most ``limit`` bytes
+            names, hashes = batch.column("block").to_numpy(zero_copy_only=False), batch.column("h1").to_numpy().view(U)
+            for n in parts:
+                parts[n].append(hashes[names == n])
+        lookup = {n: np.unique(np.concatenate(p)) if p else np.zeros(0, U) for n, p in parts.items()}
+        shared = docs.sparkSession.sparkContext.broadcast(lookup)
+        counts = _exact(texts.mapInArrow(_counted_terms(blocks, shared), COUNTED))
+        if _proven(counts, blocks, {n: max(error.get(n, 0), floors[n][0] - 1) if n in floors else 0 for n in wanted}):
+            return counts
+    return _exact(texts.mapInArrow(_counted_terms(blocks), COUNTED))
+
+
+def _exact(found: DataFrame) -> DataFrame:
+    """Sums by hash, written; two terms of one hash are an error."""
+    one = F.min("term") == F.max("term")
+    term = F.when(one, F.min("term")).otherwise(F.raise_error(F.lit("two terms have the same hashes")))
+    summed = found.groupBy("block", "h1", "h2").agg(term.alias("term"), F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+    return write_through(summed.select("block", "term", "h1", "h2", "df", "ctf"), "term-counts")
+
+
+def _proven(counts: DataFrame, blocks, others: dict[str, int]) -> bool:
+    """Whether every block's n-th count is above ``others``, the most a term that wasn't counted can have."""
+    if not any(others.values()):
+        return True
+    floor = reduce(lambda acc, b: acc.when(F.col("block") == b.name, b.min_df), blocks, F)
+    cuts = _cuts(counts.where(F.col("df") >= floor), {b.name: b.max_features for b in blocks}, full=True)
+    return all(not most or (n in cuts and cuts[n][0] > most) for n, most in others.items())
+
+
+def _cuts(counts: DataFrame, limits: dict[str, int], full: bool = False) -> dict[str, tuple[int, int]]:
+    """Per block with more terms than its limit (``full``: as many): the count at which the limit is reached, and
+    the number of terms above it; from a histogram of the counts, which has few rows, as counts repeat."""
+    limit = reduce(lambda acc, n: acc.when(F.col("block") == n, limits[n]), limits, F)
+    down = Window.partitionBy("block").orderBy(F.desc("ctf"))
+    reached = (F.col("upto") >= limit) if full else (F.col("upto") > limit)
+    below = (F.col("upto") - F.col("n") < limit) if full else (F.col("upto") - F.col("n") <= limit)
+    rows = (
+        counts.groupBy("block", "ctf")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(down))
+        .where(reached & below)
+        .groupBy("block")
+        .agg(F.max("ctf").alias("cut"), F.max_by(F.col("upto") - F.col("n"), "ctf").alias("above"))
+        .collect()  # one row per block
     )
+    return {r["block"]: (r["cut"], r["above"]) for r in rows}
 
 
 def top_terms(counts: DataFrame, blocks) -> DataFrame:
@@ -104,30 +243,19 @@ def top_terms(counts: DataFrame, blocks) -> DataFrame:
     reached.  Terms above it are taken without any ranking; only the ties at it are put in order, by a
     distributed top-k.
     """
-    limit = reduce(lambda acc, b: acc.when(F.col("block") == b.name, b.max_features), blocks, F)
     floor = reduce(lambda acc, b: acc.when(F.col("block") == b.name, b.min_df), blocks, F)
     kept = counts.where(F.col("df") >= floor)
-    down = Window.partitionBy("block").orderBy(F.desc("ctf"))
-    cuts = (
-        kept.groupBy("block", "ctf")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(down))
-        .where((F.col("upto") > limit) & (F.col("upto") - F.col("n") <= limit))
-        .groupBy("block")
-        .agg(F.max("ctf").alias("cut"), F.max_by(F.col("upto") - F.col("n"), "ctf").alias("above"))
-        .collect()  # one row per block
-    )
-    cut = {r["block"]: r for r in cuts}
+    cuts = _cuts(kept, {b.name: b.max_features for b in blocks})
     parts = []
     for b in blocks:
         own = kept.where(F.col("block") == b.name)
-        if b.name not in cut:
+        if b.name not in cuts:
             parts.append(own)
             continue
-        at, rest = cut[b.name]["cut"], b.max_features - cut[b.name]["above"]
-        parts.append(own.where(F.col("ctf") > at))
-        parts.append(own.where(F.col("ctf") == at).orderBy("term").limit(rest))
-    return reduce(DataFrame.unionByName, parts).select("block", "term", "df", "ctf")
+        cut, above = cuts[b.name]
+        parts.append(own.where(F.col("ctf") > cut))
+        parts.append(own.where(F.col("ctf") == cut).orderBy("term").limit(b.max_features - above))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def inverse_document_frequency(df: Column, n_docs: Column) -> Column:
@@ -135,9 +263,9 @@ def inverse_document_frequency(df: Column, n_docs: Column) -> Column:
 
 
 def vocabulary(docs: DataFrame, blocks, counts: DataFrame | None = None) -> DataFrame:
-    """``block, term, idx, df, idf``: the learnt terms of all blocks; ``counts`` are written corpus counts."""
+    """``block, term, h1, h2, idx, df, idf``: the learnt terms of all blocks; ``counts`` are ``candidate_counts``."""
     if counts is None:
-        counts = write_through(corpus_counts(docs, blocks), "term-counts")
+        counts = candidate_counts(docs, blocks)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     offset = F
     before = 0
@@ -149,6 +277,8 @@ def vocabulary(docs: DataFrame, blocks, counts: DataFrame | None = None) -> Data
     return top_terms(counts, blocks).select(
         "block",
         "term",
+        "h1",
+        "h2",
         (F.row_number().over(rarest_first) - 1 + offset).cast("int").alias("idx"),
         "df",
         inverse_document_frequency(F.col("df"), n_docs).alias("idf"),
@@ -164,15 +294,67 @@ def n_features(blocks) -> int:
     return sum(b.max_features for b in blocks)
 
 
+def _row_hashes(blocks):
+    """(row_id, block, h1, h2, tf) of the distinct terms of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks:
+                for _, _, _, row, one, two, tf in _row_terms(batch, b):
+                    names = pa.array([b.name]).take(pa.array(np.zeros(len(row), np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("row_id").take(pa.array(row)), names, signed(one), signed(two), pa.array(tf)],
+                        ["row_id", "block", "h1", "h2", "tf"],
+                    )
+
+    return run
+
+
 def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``row_id, block, term, idx, raw``: sublinear count times idf; unknown terms are dropped."""
-    known = vocab.select("block", "term", "idx", "idf")
-    return counts.join(known, ["block", "term"]).select(
-        "row_id", "block", "term", "idx",
-        ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"),
+    """``row_id, idx, raw``: sublinear count times idf of ``counts`` (row_id, block, h1, h2, tf); unknown terms are dropped."""
+    known = vocab.select("block", "h1", "h2", "idx", "idf")
+    return counts.join(known, ["block", "h1", "h2"]).select(
+        "row_id", "idx", ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("raw")
     )
 
 
+def _weigh_rows(blocks, shared):
+    """Packed vectors of the rows that have a known term; ``shared`` has hashes, positions and idf by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for k, b in enumerate(blocks):
+                h1, h2, idx, idf = shared.value[b.name]
+                for _, _, _, row, one, two, tf in _row_terms(batch, b):
+                    at = np.minimum(np.searchsorted(h1, one), max(len(h1) - 1, 0))
+                    known = np.flatnonzero((h1[at] == one) & (h2[at] == two)) if len(h1) else at[:0]
+                    at = at[known]
+                    parts.append((row[known], np.full(len(at), k), idx[at], (1.0 + np.log(tf[known])) * idf[at]))
+            if not parts:
+                continue
+            row, block, idx, raw = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((idx, row))
+            row, block, idx, raw = row[order], block[order], idx[order], raw[order]
+            # Positions of a row ascend by block, so its blocks follow each other.
+            own = row * len(blocks) + block
+            opens = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+            if len(opens):
+                length = np.sqrt(np.add.reduceat(raw * raw, opens))
+                raw = raw / np.repeat(length, np.diff(np.append(opens, len(own))))
+            rows, sizes = np.unique(row, return_counts=True)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row_id").take(pa.array(rows)), pa.ListArray.from_arrays(bounds, pa.array(idx.astype(np.int32))),
+                    pa.ListArray.from_arrays(bounds, pa.array(raw)),
+                ],
+                ["row_id", "indices", "weights"],
+            )
+
+    return run
+
+
 def pack(weighed: DataFrame, blocks) -> DataFrame:
     """Packed vectors, each block scaled to length 1.
 
@@ -211,9 +393,27 @@ def pack(weighed: DataFrame, blocks) -> DataFrame:
     )
 
 
-def vectors(docs: DataFrame, vocab: DataFrame, blocks) -> DataFrame:
-    """Apply a learnt vocabulary.  Rows without a known term have no vector."""
-    return pack(weigh(term_counts(docs, blocks), broadcast_if_small(vocab)), blocks)
+def vectors(docs: DataFrame, vocab: DataFrame, blocks, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Apply a learnt vocabulary.  Rows without a known term have no vector.
+
+    A vocabulary has at most ``n_features`` terms; up to ``limit`` bytes it goes to the tasks, beyond it terms and
+    vocabulary meet by hash.
+    """
+    texts = _joined(docs, blocks, "row_id")
+    if n_features(blocks) * TERM_BYTES > limit:
+        found = texts.mapInArrow(_row_hashes(blocks), "row_id long, block string, h1 long, h2 long, tf long")
+        return pack(weigh(found, vocab), blocks)
+    rows = vocab.select("block", "h1", "h2", "idx", "idf").toPandas()  # at most ``limit`` bytes
+    lookup = {}
+    for b in blocks:
+        own = rows[rows["block"] == b.name]
+        h1 = own["h1"].to_numpy(np.int64).view(U)
+        order = np.argsort(h1)
+        lookup[b.name] = (
+            h1[order], own["h2"].to_numpy(np.int64).view(U)[order], own["idx"].to_numpy(np.int64)[order], own["idf"].to_numpy(np.float64)[order],
+        )
+    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+    return texts.mapInArrow(_weigh_rows(blocks, shared), "row_id long, indices array<int>, weights array<double>")
 
 
 def long_form(packed: DataFrame) -> DataFrame:

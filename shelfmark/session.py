@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -65,20 +68,43 @@ def write_through(df: DataFrame, name: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; tasks of its session get Arrow batches of at most ``BATCH_BYTES``, or of one row.
+
+    Without it a batch has a number of rows, and a task's memory follows their lengths.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def _content(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: the content of strings, binaries, arrays, maps and structs, 16 for anything else."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + F.lit(16)
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_content(value[f.name], f.dataType) for f in kind.fields], F.lit(16).cast("long"))
+    if isinstance(kind, T.MapType):
+        return _content(F.map_keys(value), T.ArrayType(kind.keyType)) + _content(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType)):
+            inside = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _content(x, kind.elementType))
+        else:
+            inside = F.size(value).cast("long") * F.lit(16)
+        return F.lit(16).cast("long") + F.greatest(F.coalesce(inside, F.lit(0).cast("long")), F.lit(0).cast("long"))
+    return F.lit(16).cast("long")
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Mark a written table for broadcast when its measured content is below ``limit`` bytes.
 
     Larger tables are returned as they are and join through a shuffle.  Call it
     on written tables only: the measurement reads ``df`` once.
     """
-    width = sum(
-        (
-            F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)).cast("long")
-            if f.dataType.typeName() == "string"
-            else F.lit(16).cast("long")
-            for f in df.schema.fields
-        ),
-        F.lit(16).cast("long"),
-    )
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
+    """Whether the content of a written table is at most ``limit`` bytes."""
+    width = reduce(add, [_content(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16).cast("long"))
     size = df.agg(F.sum(width).alias("bytes")).first()["bytes"] or 0
-    return F.broadcast(df) if size <= limit else df
+    return size <= limit

@@ -1,7 +1,10 @@
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import tokens
@@ -112,3 +115,76 @@ def test_top_terms_with_one_hot_term(spark):
     got = [r["term"] for r in features.top_terms(features.corpus_counts(many, [block]), [block]).orderBy(F.desc("ctf"), "term").collect()]
     count = Counter(w for i in range(400) for w in f"hot hot t{i % 37} u{i}".split())
     assert got == sorted(count, key=lambda t: (-count[t], t))[:30]
+
+
+def random_docs(spark, n=120, seed=2):
+    rng = random.Random(seed)
+    words = ["aa", "b", "ccc", "über", "роутер", "x1", "_u_", "é" * 3, "12", "wi-fi"] + [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30))) or None, " ".join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "row_id long, words string, chars string")
+
+
+def counted(rows, terms_of):
+    df, ctf = Counter(), Counter()
+    for r in rows:
+        c = Counter(terms_of(r))
+        df.update(c.keys())
+        ctf.update(c)
+    return {t: (df[t], ctf[t]) for t in df}
+
+
+def test_corpus_counts_equal_brute_force(spark):
+    rows, df = random_docs(spark)
+    blocks = [Block("w", "words", 1, 3, 10), Block("c", "chars", 3, 5, 10, characters=True)]
+    got = {(r["block"], r["term"]): (r["df"], r["ctf"]) for r in features.corpus_counts(df, blocks).collect()}
+
+    def grams(r):
+        w = re.findall(r"\b\w\w+\b", (r[1] or "").lower())
+        return [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+    want = {("w", t): v for t, v in counted(rows, grams).items()}
+    want |= {("c", t): v for t, v in counted(rows, lambda r: char_terms(r[2])).items()}
+    assert got == want
+
+
+@pytest.mark.parametrize("capacity, limit, min_df", [(1 << 20, 1 << 20, 1), (40, 1 << 20, 1), (300, 1 << 20, 2), (5, 1 << 20, 1), (1 << 20, 0, 1)])
+def test_candidates_hold_the_most_frequent_terms(spark, capacity, limit, min_df):
+    """With counters for all terms, for some, for too few (then all are counted), and without room to broadcast."""
+    rows, df = random_docs(spark)
+    block = Block("w", "words", 1, 2, 25, min_df=min_df)
+    counts = features.candidate_counts(df, [block], capacity=capacity, limit=limit)
+    got = [(r["term"], r["df"], r["ctf"]) for r in features.top_terms(counts, [block]).collect()]
+    true = {t: v for t, v in counted(rows, lambda r: word_terms(r[1] or "")).items() if v[0] >= min_df}
+    want = sorted(true, key=lambda t: (-true[t][1], t))[:25]
+    assert sorted(got) == sorted((t, *true[t]) for t in want)
+
+
+def test_counters_bound_true_counts():
+    rng = np.random.default_rng(3)
+    counters, true = features.Counters(20), Counter()
+    for _ in range(50):
+        terms = (rng.zipf(1.5, 200) % 500).astype(np.uint64)
+        one, n = np.unique(terms, return_counts=True)
+        counters.add(one, one, n)
+        true.update(terms.tolist())
+    low = dict(zip(counters.one.tolist(), counters.low.tolist()))
+    assert len(low) <= 20 and counters.error > 0
+    assert all(low.get(t, 0) <= n <= low.get(t, 0) + counters.error for t, n in true.items())
+
+
+def test_vectors_without_broadcast(spark):
+    _, df = random_docs(spark)
+    blocks = [Block("w", "words", 1, 2, 30), Block("c", "chars", 3, 5, 40, min_df=2, characters=True)]
+    vocab = features.fit(df, blocks)
+    rows = lambda x: {r["row_id"]: (r["indices"], r["weights"]) for r in x.collect()}
+    here, joined = rows(features.vectors(df, vocab, blocks)), rows(features.vectors(df, vocab, blocks, limit=0))
+    assert here.keys() == joined.keys()
+    for k in here:
+        assert here[k][0] == joined[k][0] and np.allclose(here[k][1], joined[k][1], atol=1e-12)
+
+
+def test_texts_are_not_shuffled(spark):
+    _, df = random_docs(spark)
+    block = Block("w", "words", 1, 2, 30)
+    vocab = features.fit(df, [block])
+    assert "Exchange" not in features.vectors(df, vocab, [block])._jdf.queryExecution().executedPlan().toString()

@@ -88,6 +88,37 @@ def test_many_shards_and_visitor_groups(spark, monkeypatch):
     assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 60)
 
 
+@pytest.mark.parametrize("fanout, terms", [(2, 8_000_000), (3, 60), (16, 200)])
+def test_trees_of_several_levels(spark, monkeypatch, fanout, terms):
+    """Leaves cut by rows and by terms, trees of several levels; only surviving nodes are expanded."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", (8, 8))
+    monkeypatch.setattr(neighbours, "SHARD_TERMS", terms)
+    monkeypatch.setattr(neighbours, "VISITOR_TERMS", 50)
+    monkeypatch.setattr(neighbours, "FANOUT", fanout)
+    walked = []
+    plain = neighbours.descend
+    monkeypatch.setattr(neighbours, "descend", lambda *a, **k: walked.append((plain(*a, **k), a[2], k)) or walked[-1][0])
+    rng = np.random.default_rng(fanout)
+    centres = [np.sort(rng.choice(200, 6, replace=False)) for _ in range(40)]
+    train = []
+    for t in range(500):
+        idx = np.unique(np.append(centres[t % 40], rng.integers(0, 200, 2)))
+        train.append((t, *unit(idx, rng.random(len(idx)) + 0.2)))
+    labels = {t: (100 + t % 40, 1 + t % 40 % 3) for t in range(500)}
+    queries = []
+    for q in range(1000, 1060):
+        idx = np.unique(np.append(centres[q % 40], rng.integers(0, 200, 1)))
+        queries.append((q, *unit(idx, rng.random(len(idx)) + 0.2)))
+    p = softmax_rows(rng, [q[0] for q in queries])
+    assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 200)
+    index = walked[0][1]
+    n_leaves = index.rows.select("department_id", "leaf").distinct().count()
+    assert index.levels >= (2 if fanout < 16 else 1) and n_leaves > 40
+    assert [k.get("best_only", False) for _, _, k in walked] == [True, False]
+    assert walked[0][0].count() <= 60
+    assert walked[1][0].count() < 60 * n_leaves / 4
+
+
 def test_ties_and_queries_without_a_known_term(spark):
     train = [(3, [1], [1.0]), (7, [1], [1.0]), (9, [2], [1.0])]
     labels = {3: (30, 1), 7: (70, 1), 9: (90, 2)}

@@ -74,3 +74,14 @@ def test_remove_tables(spark, monkeypatch, tmp_path):
     assert list(tmp_path.iterdir())
     session.remove_tables(spark)
     assert not list(tmp_path.iterdir())
+
+
+def test_broadcast_goes_by_content(spark):
+    """Arrays, structs, maps and binaries count by what they hold."""
+    rows = spark.range(200).select(F.array_repeat("id", 5000).alias("many"))
+    assert not session.is_small(rows, 10_000_000) and session.is_small(rows, 30_000_000)
+    texts = spark.range(100).select(F.array(F.struct(F.repeat(F.lit("x"), 1000).alias("t"))).alias("s"), F.lit(None).cast("array<string>").alias("none"))
+    assert not session.is_small(texts, 100_000) and session.is_small(texts, 200_000)
+    maps = spark.range(100).select(F.create_map("id", F.repeat(F.lit("y"), 500)).alias("m"), F.repeat(F.lit("z"), 100).cast("binary").alias("b"))
+    assert not session.is_small(maps, 60_000) and session.is_small(maps, 100_000)
+    assert session.is_small(rows.where("false"), 0) and "BroadcastHashJoin" in plan_of(spark.range(3).join(session.broadcast_if_small(spark.range(3)), "id"))

@@ -53,6 +53,16 @@ def test_predictions_are_written_in_input_order(spark):
     assert spark.read.parquet(keyed).count() == 500
 
 
+def test_order_needs_no_sampling(spark):
+    """Stretches of row numbers are partitions; gaps and a missing number don't matter."""
+    rows = spark.range(0, 1000, 3).select(F.col("id").alias("row_id"), F.lit(1).alias("category_id")).orderBy(F.rand(5))
+    ordered = offers._in_order(rows, most=100)
+    assert "rangepartitioning" not in ordered._jdf.queryExecution().executedPlan().toString().split("Sort [row_id")[0]
+    parts = [[r["row_id"] for r in p] for p in ordered.select("row_id").rdd.glom().collect()]
+    assert [x for p in parts for x in p] == list(range(0, 1000, 3)) and len(parts) == 10
+    assert offers._in_order(rows.where("false")).count() == 0
+
+
 def test_columns_are_taken_by_name(spark, tmp_path):
     """Another order, a column more, and vendor codes that look like numbers."""
     (tmp_path / "a.tsv").write_text("extra\tdepartment_id\ttitle\tvendor_code\tcategory_id\tdescription\tvendor_name\tshop_category_name\n"

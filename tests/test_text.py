@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import lexicon, text
-from shelfmark.operators import texts
+from shelfmark.operators import lemma, texts
 from shelfmark.operators.lemma import lemmatise
 
 OFFER = "row_id long, title string, description string, shop_category_name string, vendor_name string, vendor_code string"
@@ -149,8 +149,79 @@ def test_lemmas(spark):
     assert got == {1: ("кошка и кот", "кот"), 2: ("", "x"), 3: ("", "")}
 
 
+def test_unknown_words_follow_their_endings(spark):
+    """Most frequent rule of the longest ending, then least cut, then letters; digits and unknown endings stay."""
+    forms = spark.createDataFrame(
+        [("кошками", "кошка"), ("мышками", "мышка"), ("рыбами", "рыба"), ("санями", "сани"), ("xab", "xac"), ("yab", "yad"), ("дом", "дом")],
+        "word string, lemma string",
+    )
+    rules = {r["ending"]: (r["cut"], r["added"]) for r in lemma.ending_rules(forms).collect()}
+    assert rules["ами"] == (2, "")
+    assert rules["ями"] == (3, "и") and rules["ab"] == (1, "c") and rules["ом"] == (0, "")
+    assert "xab" not in rules and all(len(e) <= 5 for e in rules)
+    rows = spark.createDataFrame([(1, "лампами конями zab том 5ами фу дом кошками", "лампами")], "row_id long, a string, b string")
+    got = lemmatise(rows, ["a", "b"], forms).first()
+    assert (got["a"], got["b"]) == ("лампа кони zac том 5ами фу дом кошка", "лампа")
+    plain = lemmatise(rows, ["a"], forms, predict=False).first()
+    assert plain["a"] == "лампами конями zab том 5ами фу дом кошка"
+
+
+def test_prediction_equals_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    make = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 8)))
+    table = {make(): make() for _ in range(150)}
+    words = sorted({make() for _ in range(200)})
+    counts = {}
+    for w, m in table.items():
+        n = 0
+        while n < min(len(w), len(m)) and w[n] == m[n]:
+            n += 1
+        for k in range(max(1, len(w) - n), 6):
+            if k < len(w):
+                counts.setdefault(w[-k:], Counter())[len(w) - n, m[n:]] += 1
+    best = {e: min(c, key=lambda r: (-c[r], *r)) for e, c in counts.items()}
+    want = {}
+    for w in words:
+        ending = next((w[-k:] for k in range(5, 0, -1) if k < len(w) and w[-k:] in best), None)
+        cut, added = best.get(ending, (0, ""))
+        want[w] = table.get(w, w[: len(w) - cut] + added)
+    rows = spark.createDataFrame(list(enumerate(words)), "row_id long, t string")
+    got = lemmatise(rows, ["t"], spark.createDataFrame(list(table.items()), "word string, lemma string"))
+    assert {words[r["row_id"]]: r["t"] for r in got.collect()} == want
+
+
 def test_lemmas_leave_flags_and_codes_alone(spark):
     offers = spark.createDataFrame([(1, "Коты", None, None, None, "коты")], OFFER)
     forms = spark.createDataFrame([("коты", "кот")], "word string, lemma string")
     got = texts.all_texts(offers, forms).first()
     assert got["department_word_text"].startswith(" " * 9 + "кот кот __fw_коты__ nan nan коты")
+
+
+def test_looks_ahead_find_the_same_flags(spark):
+    """Searches that are skipped are those that find nothing: starts after any mark, other digits, short words."""
+    import random
+
+    rng = random.Random(4)
+    stems = ["футболк", "чай", "кабель", "кабель usb", "ps5", "ps", "рис", "риса", "wi-fi", "котёл", "книга", "мышь", "ssd", "корм для", "бра"]
+    parts = ["²", "½", "-", "_", "́", "٣", "5", " ", "\n", "x", "л", "кг", "10x20", "220v", '"', "5 дюйм", ".", "ё"]
+    rows = [(i, "".join(rng.choice(stems + parts) for _ in range(rng.randrange(1, 8)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, title string").withColumns({n: m() for n, m in text.PREPARED_FIELDS.items() if n.startswith("title")})
+    lowered, words = F.col("title_lower"), F.col("title_words")
+    got = df.select(
+        text.title_tokens(lowered, words).alias("plain"),
+        text.title_tokens(lowered, words, starts=F.col("title_starts"), digits=F.col("title_digits")).alias("ahead"),
+    ).collect()
+    assert all(r["plain"] == r["ahead"] for r in got)
+    assert len({r["plain"] for r in got}) > 100
+
+
+def test_stem_starts():
+    assert text.stem_starts(r"\b(ab|cd\b|ef[0-9]|g-h)") is None
+    assert text.stem_starts(r"\b(abc|cd\b|ef[0-9])") == ["ab", "cd", "ef"]
+    assert text.stem_starts(r"\b(ab?|cd)") is None and text.stem_starts("ab|cd") is None and text.stem_starts(r"\b(a(b)|cd)") is None
+    from shelfmark.functions import lexicon
+
+    assert all(text.stem_starts(p) for _, p in lexicon.TYPE_FLAGS)
