@@ -274,10 +274,9 @@ def find_passages(
     """Per row of ``docs``: id, row1, row2 (its key), n_words, ``spans`` to remove (words ``first`` to
     ``last``, code points ``start`` to ``end``), and ``items``, the ids of the items found, sorted."""
     spark = docs.sparkSession
-    asked = write_through(
-        items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where("text is not null"),
-        "test-items",
-    )
+    asked = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    # No window spans rows and findings are united by item, so equal rows count once and blocks may cut an item.
+    asked = write_through(asked.distinct(), "test-items")
     size = asked.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     texts = bounded_batches(docs).select(
@@ -289,9 +288,12 @@ def find_passages(
     )
     found = None
     for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
+        rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         phrases = spark.sparkContext.broadcast(vars(Phrases([(r["item"], r["text"]) for r in rows])))
         part = texts.mapInArrow(_search(phrases, block == 0), schema)
+        if blocks > 1:  # one block's phrases are held at a time
+            part = write_through(part, "test-found")
+            phrases.destroy()
         found = part if found is None else found.unionByName(part)
     if blocks == 1:
         return found

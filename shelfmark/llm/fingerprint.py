@@ -6,9 +6,10 @@ into one of ``BINS`` bins by the top bits of its hash, so one hash serves all tu
 sets of k-mers in another order give other tuples.  Likeness is the share of equal tuples among bins that
 either text fills, brought back to the scale of single k-mers by the root of degree ``PICK``.
 
-``edited_fingerprints`` needs each document's successor in descending id order.  Ids are cut into ranges at
-approximate quantiles (a handful of numbers); a range is one sorted run in one task, and the first document
-of a range is also sent to the range that ends just before it.  Texts are shuffled once.
+``edited_fingerprints`` needs each document's successor in descending id order.  Ids (numbers) are cut into
+ranges of about ``RANGE_BYTES``, an id that many rows share, or none, by the hash of the text as well; a range is one
+partition and one sorted run, and the first document of a range is also sent to the range that ends just
+before it.  Texts are shuffled once.
 
 Defined cases: a null text is empty; an empty text has no k-mer, and two texts without any have likeness
 1; a text shorter than k is one k-mer; null ids come last in the order; rows of equal id are ordered by the
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.llm.common import bounded_batches, table
 from shelfmark.llm.textbytes import STEP, U, mixed, powers
 
 K, BINS, PICK = 8, 64, 2
+#: Bytes of text in a range, as long as there are no more ranges than this.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 20_000
 CROWD = 12  # candidates a bin needs on average before smaller hashes alone are looked at
 
 
@@ -149,34 +152,69 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited text, with both likenesses."""
-    spark = docs.sparkSession
-    texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = texts.select("id")
+def _ranges(texts: DataFrame) -> tuple[Column, int]:
+    """The range of a row (id, text, hash) in the order of descending ids, and how many there are.
+
+    Ids are cut at approximate quantiles, as many as the texts' bytes ask for.  An id that holds several quantiles,
+    or none, is cut further by even stretches of the hash, which orders its rows.
+    """
+    spark = texts.sparkSession
+    sizes = texts.agg(
+        F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("none")
+    ).first()
+    parts = min(max(-(-(sizes["bytes"] or 0) // RANGE_BYTES), 4 * spark.sparkContext.defaultParallelism), MOST_RANGES)
     share = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(ids.agg(F.percentile_approx("id", share or [0.5], 100_000).alias("cuts")).first()["cuts"] or []))
-    # The number of cuts below an id; null ids are the last bucket, -1.
+    found = texts.agg(F.percentile_approx("id", share or [0.5], 100_000).alias("cuts")).first()["cuts"] or []
+    cuts = sorted(set(found))
+    # Ids in (cut before, cut] are one bucket, whose greatest id may be cut by hash; null ids are the last bucket.
+    slices = [found.count(c) if found.count(c) > 1 else 0 for c in cuts]
+    above = [(0, 1)]  # ids over all cuts; (slices of the greatest id, ranges)
+    for k in reversed(slices):
+        above.append((k, k + 1))
+    none = max(1, -(-sizes["none"] * parts // max(sizes["n"], 1)))
+    above.append((none, none))
+    starts = [0]
+    for _, n in above:
+        starts.append(starts[-1] + n)
     below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("id"))) if cuts else F.lit(0)
-    bucket = F.when(F.col("id").isNull(), -1).otherwise(below)
-    firsts = sorted(tuple(r) for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("id")).collect())
-    # The first document of a bucket follows the last one of the bucket above; the very first follows the very last.
-    receiver = F.lit(None).cast("int")
-    for (here, first), (above, _) in zip(firsts, firsts[1:] + firsts[:1]):
-        is_first = F.col("id").isNull() if first is None else F.col("id") == first
-        receiver = F.when((F.col("bucket") == here) & is_first, above).otherwise(receiver)
+    bucket = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - below)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), bucket + 1)
+    # The hash as a number from 0 to 2 ** 24, in its own order.
+    even = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 40)
+    k = pick([k for k, _ in above])
+    kind = texts.schema["id"].dataType
+    greatest = F.element_at(F.array(*[F.lit(c).cast(kind) for c in (None, *reversed(cuts), None)]), bucket + 1)
+    cut_here = F.col("id").isNull() | (F.col("id") == greatest)
+    slice_ = F.when(k == 0, 0).when(cut_here, F.expr("0") + (even * k / F.lit(1 << 24)).cast("int")).otherwise(k)
+    return (pick(starts[:-1]) + slice_).cast("int"), starts[-1]
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of every text and of its edited text, with both likenesses."""
+    texts = bounded_batches(docs).select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")
+    )
+    place, ranges = _ranges(texts)
+    placed = texts.withColumn("bucket", place)
+    # The first document of each range that has any, in the order of ids; one row a range.
+    first = F.max(F.struct("id", F.bitwise_not("hash").alias("turned"))).alias("first")
+    firsts = sorted(placed.select("bucket", "id", "hash").groupBy("bucket").agg(first).collect(), key=lambda r: r["bucket"])
+    # It follows the last one of the range before; the very first follows the very last.
+    known = {r["bucket"]: (r["first"]["id"], ~r["first"]["turned"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)}
+    id_type = texts.schema["id"].dataType
+    column = lambda k, kind: F.array(*[F.lit(known[b][k] if b in known else None).cast(kind) for b in range(ranges)])
+    at = lambda values: F.element_at(values, F.col("bucket") + 1)
+    is_first = F.col("id").eqNullSafe(at(column(0, id_type))) & (F.col("hash") == at(column(1, "long")))
     both = F.array(
         F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("borrowed")),
-        F.when(F.col("receiver").isNotNull(), F.struct(F.col("receiver").alias("bucket"), F.lit(True).alias("borrowed"))),
+        F.when(is_first, F.struct(at(column(2, "int")).alias("bucket"), F.lit(True).alias("borrowed"))),
     )
     dealt = (
-        texts.withColumn("bucket", bucket)
-        .withColumn("receiver", receiver)
-        .select("id", "text", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("to"))
-        .select("id", "text", "to.bucket", "to.borrowed")
-        .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "borrowed", F.col("id").desc_nulls_last(), F.xxhash64("text"))
+        placed.select("id", "text", "hash", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("to"))
+        .select("id", "text", "hash", "to.bucket", "to.borrowed")
+        .repartitionById(ranges, "bucket")
+        .sortWithinPartitions("bucket", "borrowed", F.col("id").desc_nulls_last(), "hash")
+        .drop("hash")
     )
     schema = (
         f"id {texts.schema['id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string,"

@@ -2,9 +2,11 @@
 
 Windows of ``WINDOW`` bytes go through an embedding, filters of several widths (stride ``STRIDE``), the
 maximum over the window, and a softmax.  Training takes a sample of bounded size: about ``PER_LANGUAGE``
-labelled documents per language, drawn by hash, two excerpts each; the bound is a parameter and does not
-depend on the input.  Copies of a text count once per language.  Every text is then cut into windows from its first byte to its last; its probabilities
-are the means over its windows, weighted by the bytes in them.
+labelled documents per language, drawn by hash, two excerpts each, for the ``MOST_LANGUAGES`` labels with the
+most distinct texts (on a tie by name); the bounds are parameters and do not depend on the input.  Copies of
+a text count once per language.  Every text is then cut into windows from its first byte to its last; its
+probabilities are the means over its windows, weighted by the bytes in them.  A label beyond the bound is not
+learned, so its texts get one of the others.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every
 text is ``und``; a null label is not learned from; a null id counts as the empty id for the fold; rows that
@@ -25,7 +27,7 @@ from shelfmark.session import broadcast_if_small, write_through
 
 WINDOW, STRIDE = 128, 2
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4, 6), 12
-PER_LANGUAGE, EXCERPT = 1500, 300
+PER_LANGUAGE, EXCERPT, MOST_LANGUAGES = 1500, 300, 256
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 7
 PAD = 32
 INNER = 256
@@ -55,11 +57,45 @@ def forward(model: dict, windows: np.ndarray) -> np.ndarray:
     return out
 
 
+def gradients(model: dict, windows: np.ndarray, labels: np.ndarray) -> dict:
+    """Gradients of the mean cross entropy of byte windows with class numbers."""
+    size, wide, n = model["shift"].size, model["filters"].shape[0], len(windows)
+    columns = _columns(windows, model["embedding"])
+    values = (columns.reshape(-1, wide) @ model["filters"]).reshape(n, columns.shape[1], size)
+    best = values.argmax(axis=1)
+    raw = np.take_along_axis(values, best[:, None, :], 1)[:, 0] + model["shift"]
+    top = np.maximum(raw, 0)
+    logits = top @ model["dense"] + model["bias"]
+    odds = np.exp(logits - logits.max(axis=1, keepdims=True))
+    error = odds / odds.sum(axis=1, keepdims=True)
+    error[np.arange(n), labels] -= 1
+    error /= n
+    back = (error @ model["dense"].T) * (raw > 0)
+    picked = columns[np.arange(n)[:, None], best]  # (window, filter, wide): what each maximum saw
+    grads = {
+        "dense": top.T @ error,
+        "bias": error.sum(axis=0),
+        "shift": back.sum(axis=0),
+        "filters": np.einsum("nf,nfw->wf", back, picked) * filter_mask(),
+    }
+    to_bytes = (back[:, :, None] * model["filters"].T[None]).reshape(n, size, max(WIDTHS), EMBED)
+    seen = best[:, :, None] * STRIDE + np.arange(max(WIDTHS))
+    grads["embedding"] = np.zeros_like(model["embedding"])
+    np.add.at(grads["embedding"], windows[np.arange(n)[:, None, None], seen], to_bytes)
+    return grads
+
+
+def filter_mask() -> np.ndarray:
+    """Which inputs each filter sees: the first bytes of the widest one, as many as it is wide."""
+    wide = max(WIDTHS) * EMBED
+    return np.concatenate([np.repeat(np.arange(wide)[:, None] < w * EMBED, FILTERS, 1) for w in WIDTHS], axis=1)
+
+
 def train(windows: np.ndarray, labels: np.ndarray, n_classes: int, epochs: int = EPOCHS, seed: int = SEED) -> dict:
     """The network for byte windows with class numbers, by Adam on the cross entropy."""
     draw = np.random.default_rng(seed)
     size, wide = len(WIDTHS) * FILTERS, max(WIDTHS) * EMBED
-    mask = np.concatenate([np.repeat(np.arange(wide)[:, None] < w * EMBED, FILTERS, 1) for w in WIDTHS], axis=1)
+    mask = filter_mask()
     model = {
         "embedding": draw.normal(0, 0.5, (256, EMBED)),
         "filters": draw.normal(0, 1, (wide, size)) * mask / np.sqrt(mask.sum(axis=0)),
@@ -75,29 +111,7 @@ def train(windows: np.ndarray, labels: np.ndarray, n_classes: int, epochs: int =
         order = draw.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
-            columns = _columns(windows[rows], model["embedding"])
-            n = len(rows)
-            values = (columns.reshape(-1, wide) @ model["filters"]).reshape(n, columns.shape[1], size)
-            best = values.argmax(axis=1)
-            raw = np.take_along_axis(values, best[:, None, :], 1)[:, 0] + model["shift"]
-            top = np.maximum(raw, 0)
-            logits = top @ model["dense"] + model["bias"]
-            odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-            error = odds / odds.sum(axis=1, keepdims=True)
-            error[np.arange(n), labels[rows]] -= 1
-            error /= n
-            back = (error @ model["dense"].T) * (raw > 0)
-            picked = columns[np.arange(n)[:, None], best]  # (window, filter, wide): what each maximum saw
-            grads = {
-                "dense": top.T @ error,
-                "bias": error.sum(axis=0),
-                "shift": back.sum(axis=0),
-                "filters": np.einsum("nf,nfw->wf", back, picked) * mask,
-            }
-            to_bytes = (back[:, :, None] * model["filters"].T[None]).reshape(n, size, max(WIDTHS), EMBED)
-            seen = best[:, :, None] * STRIDE + np.arange(max(WIDTHS))
-            grads["embedding"] = np.zeros_like(model["embedding"])
-            np.add.at(grads["embedding"], windows[rows][np.arange(n)[:, None, None], seen], to_bytes)
+            grads = gradients(model, windows[rows], labels[rows])
             step += 1
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -120,14 +134,15 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.where(np.arange(WINDOW) < real[:, None], padded[np.minimum(at, len(data))], np.uint8(PAD)), text, real
 
 
-def learn(docs: DataFrame, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], dict | None]:
+def learn(docs: DataFrame, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], dict | None]:
     """The languages and the network, from labelled rows of ``docs`` (already without the held-out ones)."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     drawn = F.xxhash64("text")
     distinct = rows.select("lang", drawn.alias("drawn")).distinct()
-    counts = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    by_label = distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in by_label.collect()}
     languages = sorted(counts)
     if not languages:
         return [], None

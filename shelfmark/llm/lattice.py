@@ -3,15 +3,17 @@
 Pieces come from a public vocabulary file whose path is a parameter; their first scores are the file's.
 Words are scored over their UTF-8 bytes after a blank (the file's word mark); all 256 single bytes are
 pieces too, so every text has a segmentation.  A word's probability is the sum over its segmentations,
-found by a forward recursion in log space; a text's is the product over its words and one end.  The scores
-are fitted to the training texts by expectation-maximisation: expected piece counts over all distinct
-training words.  A word seen in training has one more arc, over the whole word, with its discounted relative
-frequency; the discount's share goes to the segmentations, so the probabilities of all words and the end
-sum to 1.
+found by a forward recursion in log space; a text's is the product over its words and one end, which is a
+piece of its own: the marginal probability of the text, and nothing else, is ``score``.  The pieces'
+probabilities are fitted to the training texts by expectation-maximisation: expected counts over the distinct
+training words, each weighted by its count.
+
+``word_score`` is a further column for comparison: there a word seen in training has one more arc, over the
+whole word, with its discounted relative frequency, and the discount's share goes to the segmentations.
 
 1. Tasks count the words of their texts; one aggregation by word gives the word table.
 2. ``ROUNDS`` passes over the word table sum expected piece counts; one number per piece of the vocabulary
-   reaches the driver.  A last pass stores each word's log probability beside its count.
+   reaches the driver.  A last pass stores each word's log probabilities beside its count.
 3. The ``HEAD_WORDS`` most frequent words at most are broadcast; a text's other words are kept with its row
    and joined with the word table by hash.  Both ways together are exact at any size.
 
@@ -212,7 +214,7 @@ def _expected(sent):
         found, log_p = sent.value
         pieces, sums = SimpleNamespace(**found), np.zeros(len(log_p))
         for batch in _collected(batches):
-            sums += lattice(pieces, log_p, *_packed(batch.column("word")), np.ones(batch.num_rows))[1]
+            sums += lattice(pieces, log_p, *_packed(batch.column("word")), batch.column("count").to_numpy().astype(float))[1]
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["piece", "expected"])
 
@@ -224,12 +226,13 @@ def _word_scores(sent):
         found, log_p, discount, n, rest = sent.value
         pieces = SimpleNamespace(**found)
         for batch in _collected(batches):
-            by_pieces = lattice(pieces, log_p, *_packed(batch.column("word")))[0] + math.log(rest)
+            by_pieces = lattice(pieces, log_p, *_packed(batch.column("word")))[0]
             whole = np.maximum(batch.column("count").to_numpy() - discount, 0) / n
             with np.errstate(divide="ignore"):
-                log_word = np.logaddexp(by_pieces, np.log(whole))
+                log_word = np.logaddexp(by_pieces + math.log(rest), np.log(whole))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("hash"), batch.column("count"), pa.array(log_word / math.log(10))], ["hash", "count", "log10_p"]
+                [batch.column("hash"), batch.column("count"), pa.array(by_pieces / math.log(10)), pa.array(log_word / math.log(10))],
+                ["hash", "count", "log10_p", "log10_word"],
             )
 
     return run
@@ -250,24 +253,31 @@ def learn(texts: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS)
     discount = found_["once"] / (found_["once"] + 2 * found_["twice"]) if found_["once"] and found_["twice"] else 0.5
     pieces, log_p = read_vocabulary(vocabulary)
     by_hash = vars(Pieces(pieces))
+    # The end of a text is one more piece.
+    p_end = END_WITHOUT_TEXTS
     for _ in range(rounds if found_["v"] else 0):
         sent = spark.sparkContext.broadcast((by_hash, log_p))
-        sums = word_table.where(seen).select("word").mapInArrow(_expected(sent), "piece long, expected double")
+        sums = word_table.where(seen).select("word", "count").mapInArrow(_expected(sent), "piece long, expected double")
         counts = np.full(len(pieces), PSEUDO_COUNT)
         for r in sums.groupBy("piece").agg(F.sum("expected").alias("expected")).collect():  # a row per piece at most
             counts[r["piece"]] += r["expected"]
+        p_end = n_texts / (counts.sum() + n_texts)
         log_p = np.log(counts / counts.sum())
+    log_p = log_p + math.log1p(-p_end)
     # What the discount takes from seen words and ends goes to the pieces.
     rest = discount * v / n if n else 1 - END_WITHOUT_TEXTS
     end = (n_texts - discount) / n if n_texts else END_WITHOUT_TEXTS
     sent = spark.sparkContext.broadcast((by_hash, log_p, discount, max(n, 1), rest))
-    scored = write_through(word_table.mapInArrow(_word_scores(sent), "hash long, count long, log10_p double"), "lm-scores")
-    return {"words": scored, "train_tokens": n, "distinct": v, "ends": n_texts, "log10_end": math.log10(end)}
+    scored = write_through(word_table.mapInArrow(_word_scores(sent), "hash long, count long, log10_p double, log10_word double"), "lm-scores")
+    return {
+        "words": scored, "train_tokens": n, "distinct": v, "ends": n_texts, "pieces": pieces, "log_p": log_p,
+        "log10_end": math.log10(p_end), "log10_word_end": math.log10(end),
+    }
 
 
 def _score_texts(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, base, model, known = sent.value
+        hashes, base, model, by_words, known = sent.value
         for batch in batches:
             for a, b, data, offsets in groups(batch, "text", GROUP):
                 starts, ends, text = words(data, offsets, NOT_BLANK)
@@ -276,21 +286,21 @@ def _score_texts(sent):
                 frequent = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
                 at, where = at[frequent], text[frequent]
                 n = b - a
-                sums = [np.bincount(where, weights=x[at], minlength=n).astype(np.float64) for x in (known, base, model)]
+                sums = [np.bincount(where, weights=x[at], minlength=n).astype(np.float64) for x in (known, base, model, by_words)]
                 rare, rare_text = own[~frequent], text[~frequent]
                 bounds = np.searchsorted(rare_text, np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(a, n) for c in ("row", "id", "held_out")]
-                    + [pa.array(np.bincount(text, minlength=n).astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+                    + [pa.array(np.bincount(text, minlength=n).astype(np.int64)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])]
                     + [pa.ListArray.from_arrays(bounds, pa.array(rare))],
-                    ["row", "id", "held_out", "n_words", "n_known", "base", "model", "rare"],
+                    ["row", "id", "held_out", "n_words", "n_known", "base", "model", "by_words", "rare"],
                 )
 
     return run
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
-    """Per row of ``docs`` (which has ``held_out``): id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Per row of ``docs`` (which has ``held_out``): id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score."""
     spark = docs.sparkSession
     lexicon, n, v = model["words"], model["train_tokens"], model["distinct"]
     floor = math.log10(n + 0.5 * (v + 1))
@@ -302,21 +312,21 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         cut = lexicon.agg(F.percentile_approx("count", share, 1_000_000).alias("cut")).first()["cut"]
         while lexicon.where(F.col("count") > cut).count() > head_words:
             cut = 2 * cut + 1
-    head = lexicon.where(F.col("count") > cut).select("hash", base.alias("base"), "log10_p", (F.col("count") > 0).cast("double").alias("known"))
-    head = head.toArrow().sort_by("hash")  # HEAD_WORDS rows of 32 bytes at most
-    kinds = {"hash": np.int64, "base": np.float64, "log10_p": np.float64, "known": np.float64}
+    head = lexicon.where(F.col("count") > cut).select("hash", base.alias("base"), "log10_p", "log10_word", (F.col("count") > 0).cast("double").alias("known"))
+    head = head.toArrow().sort_by("hash")  # HEAD_WORDS rows of 40 bytes at most
+    kinds = {"hash": np.int64, "base": np.float64, "log10_p": np.float64, "log10_word": np.float64, "known": np.float64}
     sent = spark.sparkContext.broadcast(tuple(head[c].to_numpy().astype(k) for c, k in kinds.items()))
     texts = bounded_batches(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "held_out", F.col(text_col).alias("text")
     )
     schema = (
         f"row long, id {texts.schema['id'].dataType.simpleString()}, held_out boolean, n_words long, n_known long,"
-        " base double, model double, rare array<long>"
+        " base double, model double, by_words double, rare array<long>"
     )
     texts = write_through(texts.mapInArrow(_score_texts(sent), schema), "lm-texts")
     rare = texts.select("row", F.explode("rare").alias("hash")).join(lexicon.where(F.col("count") <= cut), "hash")
     rare = rare.groupBy("row").agg(
-        F.count_if(F.col("count") > 0).alias("more_known"), F.sum(base).alias("more_base"), F.sum("log10_p").alias("more_model")
+        F.count_if(F.col("count") > 0).alias("more_known"), F.sum(base).alias("more_base"), F.sum("log10_p").alias("more_model"), F.sum("log10_word").alias("more_words"),
     )
     zero = F.lit(0.0)
     end_base = math.log10(model["ends"] + 0.5) - floor
@@ -328,6 +338,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero) + end_base).alias("base_score"),
         (F.col("model") + F.coalesce("more_model", zero) + model["log10_end"]).alias("score"),
+        (F.col("by_words") + F.coalesce("more_words", zero) + model["log10_word_end"]).alias("word_score"),
     )
 
 

@@ -4,16 +4,17 @@
    shingle walks a pseudo-random permutation of the slots, round by round; a text stops as soon as all its
    slots are taken, since later rounds only bring larger values.  180 slots make 30 bands of 6 for a limit
    of 85 percent and 36 bands of 5 for 80: two texts at the limit share no band with a probability under 1e-6.
-2. Equal shingle sets become one vertex (the smallest id); buckets are the bands of vertices.  Buckets with
+2. Equal shingle sets become one vertex, a 64-bit number; buckets are the bands of vertices.  Buckets with
    the same members are kept once.
 3. Shingle sets of the vertices that share a bucket are computed from whole texts again and verified
-   exactly: all intersections of a cluster of touching buckets (or of a single bucket, where the cluster is
-   very large) come from products of 0/1 blocks.  Only the links of a spanning forest leave a task, never
-   all pairs.
-4. A cluster or bucket of more than ``BLOCK`` members is first compared with its smallest vertex, row by
-   row.  What isn't linked to that one is compared with all others in pairs of blocks, so no task holds
-   more than two blocks and a large group of real copies costs a linear number of comparisons.
-5. Components take the smallest id; see ``components``.
+   exactly, pair by pair of those that share a band: the intersections of a cluster of touching buckets come
+   from products of 0/1 blocks.  Only the links of a spanning forest leave a task, never all pairs.
+4. A cluster of more than ``BLOCK`` vertices or ``CELL`` shingles goes bucket by bucket: the members are compared
+   with one of them, what is linked becomes one component, and only buckets that still hold several components
+   go on, with another member as centre.  After ``ROUNDS`` such rounds the buckets left are compared in
+   pairs of blocks, so no task holds more than two blocks, and a large group of real copies costs a linear
+   number of comparisons.
+5. Components on vertex numbers; each takes the smallest id of its rows.
 
 Defined cases: a null, empty or blank text has no shingles, is linked with nothing and stays; fewer than
 five words are one shingle; a row with a null id is linked with nothing, has a null component and stays;
@@ -38,7 +39,9 @@ from shelfmark.session import broadcast_if_small, write_through
 
 WIDTH, PERCENT, STAGE_PERCENT = 5, 85, 80
 SLOTS, ROWS, STAGE_ROWS = 180, 6, 5
-BLOCK, MOST_BLOCKS = 512, 24
+#: Vertices and shingles of a task's block.
+BLOCK, CELL = 512, 1 << 20
+ROUNDS = 3
 EMPTY = U(2**64 - 1)
 
 
@@ -92,10 +95,7 @@ def _sign(rows: int):
         for batch in batches:
             for a, b, data, offsets in groups(batch, "text"):
                 values, text, bounds = shingle_sets(data, offsets)
-                sums = [np.zeros(len(values) + 1, U) for _ in range(2)]
-                for k, total in enumerate(sums):
-                    np.cumsum(mixed(values + np.array([k + 101], U) * STEP), out=total[1:])
-                set1, set2 = (total[bounds[1:]] - total[bounds[:-1]] for total in sums)
+                set1, set2 = _keys(values, bounds)
                 slots = signatures(values, text, b - a, SLOTS).reshape(b - a, n_bands, rows)
                 keys = np.zeros((b - a, n_bands), U)
                 for r in range(rows):
@@ -110,15 +110,25 @@ def _sign(rows: int):
     return run
 
 
+def _keys(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each text's set of shingles."""
+    out = []
+    for k in range(2):
+        total = np.zeros(len(values) + 1, U)
+        np.cumsum(mixed(values + np.array([k + 101], U) * STEP), out=total[1:])
+        out.append(total[bounds[1:]] - total[bounds[:-1]])
+    return out
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vertex, shingles as bytes) of each text."""
+    """(set1, set2, shingles as bytes) of each text."""
     for batch in batches:
         for a, b, data, offsets in groups(batch, "text"):
             values, _, bounds = shingle_sets(data, offsets)
             packed = pa.Array.from_buffers(
                 pa.binary(), b - a, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(values)]
             )
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), packed], ["vertex", "shingles"])
+            yield pa.RecordBatch.from_arrays([*map(_signed, _keys(values, bounds)), packed], ["set1", "set2", "shingles"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -141,13 +151,21 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def forest(vertices: list, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple]:
-    """Links (a, b) that connect what the exact links among ``sets`` connect."""
+def share_band(bands: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of ``bands`` have an equal value in one column."""
+    together = np.zeros((len(bands), len(bands)), bool)
+    for column in bands.T:
+        together |= column[:, None] == column[None, :]
+    return together
+
+
+def forest(vertices: list, sets: list[np.ndarray], bands: np.ndarray, percent: int = PERCENT) -> list[tuple]:
+    """Links (a, b) that connect what the exact links among ``sets`` that share a band connect."""
     if len(sets) < 2:
         return []
     sizes = np.array([len(s) for s in sets], np.float64)
     common = intersections(sets)
-    linked = np.argwhere(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1))
+    linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & share_band(bands)
     parent = list(range(len(sets)))
 
     def root(x):
@@ -157,12 +175,11 @@ def forest(vertices: list, sets: list[np.ndarray], percent: int = PERCENT) -> li
         return x
 
     kept = []
-    for a, b in linked.tolist():
+    for a, b in np.argwhere(np.triu(linked, 1)).tolist():
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            if vertices[a] != vertices[b]:
-                kept.append((vertices[a], vertices[b]))
+            kept.append((vertices[a], vertices[b]))
     return kept
 
 
@@ -170,106 +187,110 @@ def _verify(percent: int):
     """Links of the groups in rows sorted by (key, part): each run of equal ones is one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, vertices, sets, out, kind = None, [], [], [], None
+        key, vertices, sets, bands = None, [], [], []
 
-        def flush():
-            a, b = zip(*out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+        def links():
+            found = forest(vertices, sets, np.stack(bands), percent) if bands else []
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            kind = batch.column("vertex").type
             keys = zip(batch.column("key").to_pylist(), batch.column("part").to_pylist())
-            for here, vertex, packed in zip(keys, batch.column("vertex").to_pylist(), batch.column("shingles")):
+            columns = batch.column("vertex").to_pylist(), batch.column("shingles"), batch.column("bands")
+            for here, vertex, packed, own in zip(keys, *columns):
                 if here != key:
-                    out += forest(vertices, sets, percent)
-                    key, vertices, sets = here, [], []
+                    yield links()
+                    key, vertices, sets, bands = here, [], [], []
                 vertices.append(vertex)
                 sets.append(np.frombuffer(packed.as_py(), U))
-            if out:
-                yield flush()
-        out += forest(vertices, sets, percent)
-        if out:
-            yield flush()
+                bands.append(own.values.to_numpy())
+        yield links()
 
     return run
 
 
-def _with_centre(percent: int):
-    """Whether each row's set is linked to its centre's."""
+def _compare(percent: int):
+    """The pairs (a, b) whose sets are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for one, two in zip(batch.column("shingles"), batch.column("centre_shingles")):
+            for one, two in zip(batch.column("shingles"), batch.column("other_shingles")):
                 x, y = np.frombuffer(one.as_py(), U), np.frombuffer(two.as_py(), U)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("vertex"), batch.column("centre"), pa.array(linked, pa.bool_())],
-                ["key", "vertex", "centre", "linked"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
-def _grouped(rows: DataFrame, id_type: str, percent: int) -> DataFrame:
-    """Links of each (key, part) group of ``rows`` (key, part, vertex, shingles)."""
-    together = rows.select("key", "part", "vertex", "shingles").repartition("key", "part").sortWithinPartitions("key", "part")
-    return together.mapInArrow(_verify(percent), f"a {id_type}, b {id_type}")
+def _in_groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each (key, part) group of ``rows`` (key, part, vertex)."""
+    rows = broadcast_if_small(write_through(rows.select("key", "part", "vertex"), "near-groups"), BROADCAST_BYTES)
+    together = sets.join(rows, "vertex").select("key", "part", "vertex", "shingles", "bands")
+    together = together.repartition("key", "part").sortWithinPartitions("key", "part")
+    return bounded_batches(together).mapInArrow(_verify(percent), "a long, b long")
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, id_type: str, percent: int) -> DataFrame:
-    """Links of the buckets with more than ``BLOCK`` members; ``hot`` is (key, vertex)."""
-    centres = hot.groupBy("key").agg(F.min("vertex").alias("centre"))
-    centre_sets = centres.join(sets.select(F.col("vertex").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
-    compared = (
-        hot.join(sets, "vertex")
-        .join(centre_sets, "key")
-        .select("key", "vertex", "shingles", "centre", "centre_shingles")
-        .mapInArrow(_with_centre(percent), f"key long, vertex {id_type}, centre {id_type}, linked boolean")
-    )
-    compared = write_through(compared.groupBy("key", "vertex", "centre").agg(F.max("linked").alias("linked")), "near-hot")
-    sizes = compared.groupBy("key").agg(
-        F.ceil(F.count_if("linked") / BLOCK).cast("int").alias("linked_blocks"),
-        F.ceil(F.count_if(~F.col("linked")) / BLOCK).cast("int").alias("other_blocks"),
-    )
-    # Blocks 0..o-1 hold the others, o..o+l-1 the linked ones; every task is a pair with one of the others.
-    placed = compared.join(sizes.where("other_blocks > 0"), "key").withColumn(
-        "block",
-        F.expr("if(linked, other_blocks + pmod(xxhash64(vertex), linked_blocks), pmod(xxhash64(vertex), other_blocks))"),
-    )
-    mates = F.expr("if(linked, sequence(0, other_blocks - 1), sequence(0, other_blocks + linked_blocks - 1))")
-    tasks = placed.select("key", "vertex", "block", F.explode(mates).alias("mate")).select(
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` (key, vertex, n) of the buckets whose vertices aren't known to be connected, with ``component``.
+
+    A vertex goes by the smallest one it is linked to: equal names are connected, different ones may be.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    named = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("vertex"), F.least("a", "least").alias("component"))
+    named = broadcast_if_small(write_through(named, "near-named"), BROADCAST_BYTES)
+    labelled = members.join(named, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return write_through(labelled.join(open_, "key", "left_semi"), "near-open")
+
+
+def _large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the buckets of large clusters; ``members`` is (key, vertex, n)."""
+    links = None
+    open_ = members.withColumn("component", F.col("vertex"))
+    for round_ in range(ROUNDS):
+        order = F.col("vertex") if not round_ else F.xxhash64("vertex", F.lit(round_))
+        centres = open_.groupBy("key").agg(F.min_by(F.struct("vertex", "component"), order).alias("centre"))
+        # Each pair once, however many buckets it shares.
+        pairs = open_.join(centres, "key").where("component != centre.component").select(
+            F.least("vertex", "centre.vertex").alias("a"), F.greatest("vertex", "centre.vertex").alias("b")
+        )
+        pairs = broadcast_if_small(write_through(pairs.distinct(), "near-pairs"), BROADCAST_BYTES)
+        both = sets.select(F.col("vertex").alias("a"), "shingles").join(pairs, "a").join(
+            sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("other_shingles")), "b"
+        )
+        found = bounded_batches(both.select("a", "b", "shingles", "other_shingles")).mapInArrow(_compare(percent), "a long, b long")
+        links = write_through(found if links is None else links.unionByName(found), "near-links")
+        open_ = _labelled(open_.select("key", "vertex", "n"), links)
+        if open_.isEmpty():
+            return links
+    # What is left: pairs of blocks of a bucket, cut by members and by shingles.
+    cut = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / CELL)).cast("int").alias("blocks")
+    placed = open_.join(open_.groupBy("key").agg(cut), "key").withColumn("block", F.expr("cast(pmod(xxhash64(vertex), blocks) as int)"))
+    tasks = placed.select("key", "vertex", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("mate")).select(
         "key", "vertex", F.concat_ws("-", F.least("block", "mate"), F.greatest("block", "mate")).alias("part")
     )
-    return (
-        compared.where("linked and vertex != centre").select(F.col("centre").alias("a"), F.col("vertex").alias("b"))
-        .unionByName(_grouped(tasks.join(sets, "vertex"), id_type, percent))
-    )
+    rest = _in_groups(tasks, sets, percent)
+    return rest if links is None else links.unionByName(rest)
 
 
-def _links(members: DataFrame, sets: DataFrame, id_type: str, percent: int) -> DataFrame:
-    """Links that connect what the exact links inside buckets connect; ``members`` is (key, members, vertex).
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what the exact links inside buckets connect; ``members`` is (key, vertex, n).
 
-    Vertices whose buckets touch form a cluster.  A cluster of up to ``MOST_BLOCKS`` blocks is verified as a
-    whole, so that each set travels once, or once per block; a larger one bucket by bucket.
+    Vertices whose buckets touch form a cluster.  A cluster that fits a block is verified as a whole, so that each
+    set travels once; a larger one bucket by bucket.  Either way only pairs that share a band can be linked.
     """
     first = members.groupBy("key").agg(F.min("vertex").alias("first"))
     touching = members.join(first, "key").select(F.col("vertex").alias("a"), F.col("first").alias("b"))
-    cluster = components(touching).toDF("vertex", "cluster")
-    size = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
-    cluster = write_through(cluster.join(size, "cluster"), "near-clusters")
-    whole = cluster.where(F.col("size") <= MOST_BLOCKS * BLOCK).select(F.xxhash64("cluster").alias("key"), "size", "vertex")
-    large = cluster.where(F.col("size") > MOST_BLOCKS * BLOCK).select("vertex")
-    parts = write_through(
-        whole.unionByName(members.join(large, "vertex", "left_semi").select("key", F.col("members").alias("size"), "vertex")),
-        "near-parts",
-    )
-    small = parts.where(F.col("size") <= BLOCK).join(sets, "vertex").withColumn("part", F.lit(""))
-    return _grouped(small, id_type, percent).unionByName(
-        _hot_links(parts.where(F.col("size") > BLOCK).select("key", "vertex"), sets, id_type, percent)
-    )
+    cluster = write_through(components(touching).toDF("vertex", "cluster"), "near-clusters")
+    n = members.select("vertex", "n").distinct()
+    size = cluster.join(n, "vertex").groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    fits = (F.col("size") <= BLOCK) & (F.col("shingles") <= CELL)
+    sized = write_through(cluster.join(size.withColumn("fits", fits).select("cluster", "fits"), "cluster"), "near-sized")
+    links = _in_groups(sized.where("fits").select(F.col("cluster").alias("key"), F.lit("").alias("part"), "vertex"), sets, percent)
+    large = write_through(members.join(sized.where("not fits").select("vertex"), "vertex", "left_semi"), "near-large")
+    return links if large.isEmpty() else links.unionByName(_large_links(large, sets, percent))
 
 
 def near_groups(
@@ -285,10 +306,10 @@ def near_groups(
         texts.mapInArrow(_sign(rows), f"id {id_type}, n long, set1 long, set2 long, bands array<long>"), "near-signed"
     )
     known = signed.where("n > 0 and id is not null")
-    vertices = write_through(
-        known.groupBy("set1", "set2").agg(F.min("id").alias("vertex"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
-        "near-vertices",
+    distinct = known.groupBy("set1", "set2").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
+    vertices = write_through(distinct.withColumn("vertex", F.monotonically_increasing_id()), "near-vertices")
     entries = vertices.select("vertex", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(
         F.count("*").alias("members"),
@@ -296,21 +317,29 @@ def near_groups(
         F.bit_xor(F.xxhash64(F.lit("second"), "vertex")).alias("x2"),
     )
     buckets = buckets.where("members > 1").groupBy("members", "x1", "x2").agg(F.min("key").alias("key"))
-    buckets = write_through(buckets.select("key", "members"), "near-buckets")
+    buckets = write_through(buckets.select("key"), "near-buckets")
     members = write_through(
-        entries.join(broadcast_if_small(buckets, BROADCAST_BYTES), "key").select("key", "members", "vertex"), "near-members"
+        vertices.select("vertex", "n", F.explode("bands").alias("key")).join(broadcast_if_small(buckets, BROADCAST_BYTES), "key").select("key", "vertex", "n"),
+        "near-members",
     )
-    needed = write_through(members.select(F.col("vertex").alias("id")).distinct(), "near-needed")
-    sets = write_through(
-        texts.join(broadcast_if_small(needed, BROADCAST_BYTES), "id", "left_semi")
-        .mapInArrow(_sets, f"vertex {id_type}, shingles binary"),
-        "near-sets",
+    shared = members.select("vertex").distinct()
+    needed = write_through(vertices.join(shared, "vertex", "left_semi").select("id", "set1", "set2", "vertex", "bands"), "near-needed")
+    # The texts of the vertices' rows; another row of the same id may have another set.
+    own = texts.join(broadcast_if_small(write_through(needed.select("id").distinct(), "near-ids"), BROADCAST_BYTES), "id", "left_semi")
+    sets = own.mapInArrow(_sets, "set1 long, set2 long, shingles binary").join(
+        broadcast_if_small(needed.drop("id"), BROADCAST_BYTES), ["set1", "set2"]
     )
-    named = components(_links(members, sets, id_type, percent))
-    groups_ = vertices.join(named.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
+    sets = write_through(sets.select("vertex", "shingles", "bands"), "near-sets")
+    if not sets.groupBy("vertex").count().where("count > 1").isEmpty():
+        sets = write_through(sets.dropDuplicates(["vertex"]), "near-sets")
+    named = components(_links(members, sets, percent)).withColumnRenamed("id", "vertex")
+    named = write_through(named.join(vertices.select("vertex", "id"), "vertex"), "near-named")
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    named = named.join(least, "component").select("vertex", F.col("least").alias("component"))
+    groups_ = vertices.select("vertex", "set1", "set2", "copies", F.col("id").alias("own")).join(named, "vertex", "left")
     # Only sets that several rows share or that a link touches can differ from their row's own id.
     groups_ = groups_.where("copies > 1 or component is not null").select(
-        "set1", "set2", F.coalesce("component", "vertex").alias("component")
+        "set1", "set2", F.coalesce("component", "own").alias("component")
     )
     groups_ = broadcast_if_small(write_through(groups_, "near-groups"), BROADCAST_BYTES)
     return signed.select("id", "n", "set1", "set2").join(groups_, ["set1", "set2"], "left").select(

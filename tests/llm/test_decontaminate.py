@@ -74,6 +74,15 @@ def test_blocks_of_phrases_are_merged(spark, monkeypatch):
     assert run(spark, rows, items) == brute(rows, items)
 
 
+def test_one_item_with_most_rows(spark, monkeypatch):
+    """Rows of one item, equal ones among them, fall into several blocks; its findings are one item."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    phrase = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    items = [(7, phrase(i % 20)) for i in range(40)] + [(8, phrase(3)), (9, "one two")]
+    rows = [(i, f"a {phrase(i)} b {phrase(i + 1)}", "en", "s", 0) for i in range(25)] + [(99, "one two three", "en", "s", 0)]
+    assert run(spark, rows, items) == brute(rows, items)
+
+
 def test_empty_sides(spark):
     assert run(spark, [], [(1, "a b c")]) == []
     assert run(spark, [(1, "a b", "en", "s", 0)], []) == [(1, 2, 0, ())]

@@ -87,3 +87,25 @@ def test_kmers_that_differ_in_low_bits_only(monkeypatch):
     hashes = np.array([2**40 + x for x in (1, 2, 1, 2, 1, 3, 1, 2)], U)
     monkeypatch.setattr(fp, "kmer_hashes", lambda points, k=fp.K: hashes)
     assert fp.fingerprint(np.zeros(15, np.uint32)).tolist() == slow_whole("a" * 15)
+
+
+def test_many_ranges_with_a_hot_id_and_without_ids(spark, monkeypatch):
+    """A third of the rows without an id, a third with one: both are cut by hash, and the order is one order."""
+    monkeypatch.setattr(fp, "RANGE_BYTES", 200)
+    rng = np.random.default_rng(6)
+    text = lambda i: f"text {i} " + " ".join(map(str, rng.integers(0, 99, 12)))
+    ids = [None] * 100 + [2**40 + 1] * 100 + [2**40 + int(i) for i in rng.integers(-50, 50, 100)]
+    rows = [(i, text(k), "en", "s", 0) for k, i in enumerate(ids)]
+    docs = frame(spark, rows, extra=True)
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for i, r in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        cut = len(r[1]) // 3
+        want.append((r[0], len(r[1]), hashlib.sha256((r[1][: len(r[1]) - cut] + following[:cut]).encode()).hexdigest()))
+    assert plain(g[:3] for g in run(spark, rows)) == plain(want)
+    texts = docs.selectExpr("doc_id id", "text", "xxhash64(text) hash")
+    place, n = fp._ranges(texts)
+    sizes = [r["count"] for r in texts.withColumn("b", place).groupBy("b").count().collect()]
+    assert n > 30 and max(sizes) < 40

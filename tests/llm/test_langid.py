@@ -71,3 +71,60 @@ def test_copies_count_once(spark, monkeypatch):
     langid.learn(frame(spark, rows + copies), "text", "lang", per_language=40)
     assert [len(c) for _, c in seen] == [2 * 60, 2 * 61, 2 * 61]
     assert (seen[1][0] == seen[2][0]).all() and (seen[1][1] == seen[2][1]).all()
+
+
+def small_model(rng, classes=3):
+    size, wide = len(langid.WIDTHS) * langid.FILTERS, max(langid.WIDTHS) * langid.EMBED
+    return {
+        "embedding": rng.normal(0, 1, (256, langid.EMBED)), "filters": rng.normal(0, 1, (wide, size)) * langid.filter_mask(),
+        "shift": rng.normal(0, 1, size), "dense": rng.normal(0, 1, (size, classes)), "bias": rng.normal(0, 1, classes),
+    }
+
+
+def slow_forward(model, windows):
+    """The network filter by filter and place by place."""
+    out = []
+    for window in windows:
+        top = []
+        for w, width in enumerate(langid.WIDTHS):
+            for f in range(langid.FILTERS):
+                column = model["filters"][:, w * langid.FILTERS + f].reshape(max(langid.WIDTHS), langid.EMBED)
+                sums = []
+                for place in range(0, len(window) - max(langid.WIDTHS) + 1, langid.STRIDE):
+                    sums.append(sum(float(model["embedding"][window[place + j]] @ column[j]) for j in range(width)))
+                top.append(max(0.0, max(sums) + model["shift"][w * langid.FILTERS + f]))
+        logits = np.array(top) @ model["dense"] + model["bias"]
+        odds = np.exp(logits - logits.max())
+        out.append(odds / odds.sum())
+    return np.array(out)
+
+
+def test_forward_equals_a_slow_convolution():
+    rng = np.random.default_rng(2)
+    model, windows = small_model(rng), rng.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
+    assert np.allclose(langid.forward(model, windows), slow_forward(model, windows), atol=1e-6)
+
+
+def test_gradients_equal_numeric_ones():
+    rng = np.random.default_rng(4)
+    model, windows, labels = small_model(rng), rng.integers(0, 20, (6, langid.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    loss = lambda: -np.log(slow_forward(model, windows)[np.arange(6), labels]).mean()
+    grads = langid.gradients(model, windows, labels)
+    for name, gradient in grads.items():
+        flat, step = model[name].reshape(-1), 1e-6
+        places = np.flatnonzero(gradient.reshape(-1))
+        for at in rng.choice(places, min(6, len(places)), replace=False):
+            before = flat[at]
+            flat[at] = before + step
+            up = loss()
+            flat[at] = before - step
+            down = loss()
+            flat[at] = before
+            assert abs((up - down) / (2 * step) - gradient.reshape(-1)[at]) < 1e-5, (name, at)
+
+
+def test_labels_beyond_the_bound_are_not_learned(spark):
+    rows = [(10 * k + i, f"text {k} {i}", f"l{k}", "s", 0) for k in range(6) for i in range(6 - k)]
+    rows += [(100 + i, f"other {i}", "l5", "s", 0) for i in range(1)]
+    languages, _ = langid.learn(frame(spark, rows), "text", "lang", most_languages=3)
+    assert languages == ["l0", "l1", "l2"]

@@ -76,9 +76,50 @@ def test_probabilities_sum_to_one(spark):
     """Seen words, the end and what is left for other words make 1."""
     rows = [(i, "aa aa ab b c dd " + "e" * (i % 3 + 1), "en", "s", 0) for i in range(40)]
     _, model = run(spark, rows)
-    seen = sum(10 ** r["log10_p"] for r in model["words"].collect())
-    end = 10 ** model["log10_end"]
+    seen = sum(10 ** r["log10_word"] for r in model["words"].collect())
+    end = 10 ** model["log10_word_end"]
     assert 0.5 < seen + end <= 1.000001
+    assert math.isclose(np.exp(model["log_p"]).sum() + 10 ** model["log10_end"], 1)
+
+
+def test_score_is_the_sum_over_all_segmentations(spark):
+    """Whole texts against brute force over the fitted pieces; a seen word has no other way than its segmentations."""
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(["the cat", "The  cat sat", "zq the", "é", "", "the the the cat"] * 6)]
+    got, model = run(spark, rows)
+    p = {x: math.exp(v) for x, v in zip(model["pieces"], model["log_p"])}
+
+    def mass(w):
+        ways = [1.0] + [0.0] * len(w)
+        for end in range(1, len(w) + 1):
+            ways[end] = sum(ways[start] * p.get(w[start:end], 0.0) for start in range(end))
+        return ways[-1]
+
+    def every(w):
+        return 1.0 if not w else sum(p[w[:n]] * every(w[n:]) for n in range(1, len(w) + 1) if w[:n] in p)
+
+    assert math.isclose(mass(b" cat"), every(b" cat"))
+    for r in got:
+        text = rows[r["doc_id"]][1]
+        want = sum(math.log10(every(b" " + w.encode())) for w in tokens(text)[:-1]) + model["log10_end"]
+        assert math.isclose(r["score"], want, rel_tol=1e-9, abs_tol=1e-9)
+    assert {r["held_out"] for r in got} == {True, False}
+
+
+def test_frequent_words_shape_the_pieces(spark):
+    """Expected counts are weighted by the words' counts: a word seen more often gets likelier, others less."""
+    few = [(i, "zebra quark", "en", "s", 0) for i in range(30)]
+    many = [(i, "zebra " * 50 + "quark", "en", "s", 0) for i in range(30)]
+    a, b = run(spark, few)[1], run(spark, many)[1]
+
+    def mass(model, w):
+        p = {x: math.exp(v) for x, v in zip(model["pieces"], model["log_p"])}
+        ways = [1.0] + [0.0] * len(w)
+        for end in range(1, len(w) + 1):
+            ways[end] = sum(ways[start] * p.get(w[start:end], 0.0) for start in range(end))
+        return math.log10(ways[-1])
+
+    ratio = lambda m: mass(m, b" zebra") - mass(m, b" quark")
+    assert ratio(b) > ratio(a) + 1
 
 
 def test_without_texts(spark):

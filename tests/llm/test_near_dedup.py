@@ -19,7 +19,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingles(r[1]) for r in rows]
     parent = list(range(len(rows)))
 
@@ -33,7 +33,7 @@ def brute(rows):
             b = sets[j]
             if a and b and rows[i][0] is not None and rows[j][0] is not None:
                 common = len(a & b)
-                if 100 * common >= 85 * (len(a) + len(b) - common):
+                if 100 * common >= percent * (len(a) + len(b) - common):
                     parent[root(i)] = root(j)
     least = {}
     for i, r in enumerate(rows):
@@ -65,13 +65,14 @@ def test_equals_brute_force(spark):
 
 
 def test_large_groups_are_split(spark, monkeypatch):
-    """Groups far beyond a block, linked and not, by cluster and by bucket."""
+    """Groups far beyond a block of members or of shingles, linked and not, with and without rounds of centres."""
     rng = random.Random(4)
     rows = near_copies(rng, 150, edits=3) + near_copies(rng, 150, edits=12, first=5000)
     want = brute(rows)
-    for most in (100, 1):
-        monkeypatch.setattr(near_dedup, "BLOCK", 16)
-        monkeypatch.setattr(near_dedup, "MOST_BLOCKS", most)
+    for block, cell, rounds in ((16, 1 << 20, 3), (1000, 500, 1), (16, 1 << 20, 0)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "CELL", cell)
+        monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
         assert run(spark, rows) == want
 
 

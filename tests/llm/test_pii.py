@@ -68,6 +68,25 @@ def test_method_adds_confirmed_spans(spark):
     assert "iban" not in kinds[2] and kinds[5] == []
 
 
+def test_words_nearby_decide_added_spans(spark):
+    """Whole words raise or lower a score; base spans stay whatever is near them."""
+    iban, amex, card = "DE89 3704 0044 0532 0130 00", "378282246310005", "4111111111111111"
+    texts = [
+        iban, f"iban {iban}", f"serial {iban}", f"bank serial {iban}", f"serials {iban}", f"serialised {iban}",
+        f"scorecard {amex}", f"cards: {amex}", f"pay order {amex}", f"order {card}", f"visa {card}", "version ip 1.2.3.4", "recipe 1.2.3.4",
+        f"card {amex} {amex}", f"{amex} then {amex} card",
+    ]
+    got = pii.find_spans(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])).collect()
+    spans = {r["doc_id"]: [(s["kind"], s["score"]) for s in r["spans"]] for r in got}
+    assert [spans[i] for i in range(6)] == [
+        [("iban", 0.6)], [("iban", 0.8)], [], [("iban", 0.6)], [], [("iban", 0.6)],
+    ]
+    assert [spans[i] for i in (6, 7, 8)] == [[], [("short_card", 0.55)], []]
+    assert [spans[i] for i in range(9, 13)] == [[("card", 0.6)], [("card", 1.0)], [("ip", 0.6)], [("ip", 0.6)]]
+    # A word is near across a neighbour of the same kind, too.
+    assert [len(spans[i]) for i in (13, 14)] == [2, 2]
+
+
 def test_query_columns(spark, tmp_path):
     frame(spark, awkward()).write.parquet(str(tmp_path / "documents.parquet"))
     rows = pii.op3_pii(spark, str(tmp_path)).collect()

@@ -1,6 +1,7 @@
 """Each stage on its own input against a brute-force version, and the whole run."""
 
 import corpus_pipeline
+from shelfmark.llm import near_dedup
 from shelfmark.session import write_through
 from tests.llm import test_decontaminate, test_line_dedup, test_mixing, test_near_dedup
 from tests.llm.helpers import plain
@@ -27,7 +28,7 @@ def test_stages(spark):
             want = {(i, t) for i, t, n in test_line_dedup.brute(before, 10) if not n or t.strip()}
             assert {r[:2] for r in after} == want
         elif name == "near_dedup":
-            assert {r[0] for r in after} == {i for i, _, _, kept in test_near_dedup.brute(before) if kept}
+            assert {r[0] for r in after} == {i for i, _, _, kept in test_near_dedup.brute(before, near_dedup.STAGE_PERCENT) if kept}
         else:
             items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
             hit = {i for i, _, n, _ in test_decontaminate.brute(before, items) if n}
