@@ -9,16 +9,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files that make a part of a table of long texts.
+PART_BYTES = 8 * 1024 * 1024
+
+
+def n_parts(rows: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """One part per ``part_bytes`` of the files under ``rows``, and one per core at least."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
+    size = files.agg(F.sum("file_size").alias("size")).first()["size"] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes))
+
+
 def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, dealt out over all cores: the given tables are one file, so one task, each."""
-    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism, key)
+    """A table of long texts, dealt out in parts of bounded size: the given tables are one file, so one task, each."""
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(n_parts(rows), key)
 
 
 def _ranked(rows: DataFrame, column: str, rank: str) -> DataFrame:
-    """``rows`` with the rank of ``column`` among its distinct values (a short list); null is the last of them."""
+    """``rows`` with the rank of ``column`` among its distinct values (a short list); null is the last of them.
+
+    The list goes to the rows: by value, a few tasks would get all of them.
+    """
     values = rows.select(F.col(column).alias("value")).distinct()
     ranks = values.select("value", F.row_number().over(Window.orderBy(F.col("value").asc_nulls_last())).cast("long").alias(rank))
-    return rows.join(ranks, F.col(column).eqNullSafe(F.col("value"))).drop("value")
+    return rows.join(F.broadcast(ranks), F.col(column).eqNullSafe(F.col("value"))).drop("value")
 
 
 def offers_part(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,19 @@ def test_broadcast_goes_by_content(spark):
     maps = spark.range(100).select(F.create_map("id", F.repeat(F.lit("y"), 500)).alias("m"), F.repeat(F.lit("z"), 100).cast("binary").alias("b"))
     assert not session.is_small(maps, 60_000) and session.is_small(maps, 100_000)
     assert session.is_small(rows.where("false"), 0) and "BroadcastHashJoin" in plan_of(spark.range(3).join(session.broadcast_if_small(spark.range(3)), "id"))
+
+
+def test_texts_of_one_language_are_not_one_task(spark):
+    """The ranks go to the rows; the texts are dealt by id only, and none of the tasks gets a language."""
+    plan = plan_of(fx.offers_docs(spark, SF))
+    texts = [x for x in plan.splitlines() if "Exchange hashpartitioning(lang" in x or "SortMergeJoin" in x]
+    assert "BroadcastHashJoin" in plan and not [x for x in texts if "SortMergeJoin" in x]
+
+
+def test_parts_follow_the_size_of_the_files(spark):
+    rows = fx.table(spark, SF, "documents")
+    size = sum(p.stat().st_size for p in [Path(SF, "documents.parquet")])
+    cores = spark.sparkContext.defaultParallelism
+    assert fx.n_parts(rows) == max(cores, -(-size // fx.PART_BYTES))
+    assert fx.n_parts(rows, 1000) == -(-size // 1000) > cores
+    assert fx.dealt(spark, SF, "documents", "doc_id").rdd.getNumPartitions() == fx.n_parts(rows)
