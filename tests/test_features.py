@@ -188,3 +188,37 @@ def test_texts_are_not_shuffled(spark):
     block = Block("w", "words", 1, 2, 30)
     vocab = features.fit(df, [block])
     assert "Exchange" not in features.vectors(df, vocab, [block])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counters_wait_until_there_are_as_many_new_counts(monkeypatch):
+    sorts = []
+    by_term = features._by_term
+    monkeypatch.setattr(features, "_by_term", lambda *a: sorts.append(1) or by_term(*a))
+    counters = features.Counters(1000)
+    for i in range(50):
+        terms = np.arange(i, i + 10, dtype=np.uint64)
+        counters.add(terms, terms, np.ones(10, np.int64))
+    assert not sorts
+    assert counters.low.sum() == 500 and len(counters.one) == len(counters.two) == 59 and counters.error == 0
+    assert len(sorts) == 1
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 1 << 20])
+def test_hash_counts_are_exact_at_any_capacity(spark, capacity):
+    rows, df = random_docs(spark)
+    block = Block("w", "words", 1, 2, 25)
+    hashes = features._joined(df, [block]).mapInArrow(features._hash_counts([block], capacity), "block string, h1 long, h2 long, df long, ctf long")
+    got = hashes.groupBy("h1", "h2").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf")).collect()
+    want = counted(rows, lambda r: word_terms(r[1] or ""))
+    assert sorted((r["df"], r["ctf"]) for r in got) == sorted(want.values())
+
+
+def test_unproven_candidates_are_counted_by_hash_alone(spark, monkeypatch):
+    """With too few counters the strings of the candidates only are cut out, not those of all terms."""
+    _, df = random_docs(spark)
+    block = Block("w", "words", 1, 2, 25)
+    lookups = []
+    cut = features._counted_terms
+    monkeypatch.setattr(features, "_counted_terms", lambda blocks, candidates=None: lookups.append(candidates) or cut(blocks, candidates))
+    features.candidate_counts(df, [block], capacity=5)
+    assert lookups and all(c is not None and len(c.value["w"]) < 100 for c in lookups)
