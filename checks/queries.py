@@ -82,20 +82,25 @@ def clean_desc(spark, sf):
     )
 
 
-def lemma_join(spark, sf):
-    docs = fx.dealt(spark, sf, "documents", "doc_id").select(
-        F.col("doc_id").alias("row_id"), text.clean_text(F.col("text")).alias("lemmatised")
+def _cleaned_docs(spark, sf):
+    """Cleaned texts and the dictionary of their words, both written: each is read several times."""
+    docs = write_through(
+        fx.dealt(spark, sf, "documents", "doc_id").select(
+            F.col("doc_id").alias("row_id"), text.clean_text(F.col("text")).alias("lemmatised")
+        ),
+        "cleaned",
     )
-    forms = fx.lemma_table(docs.select(F.explode(F.split("lemmatised", " ", -1))))
+    return docs, write_through(fx.lemma_table(docs.select(F.explode(F.split("lemmatised", " ", -1)))), "dictionary")
+
+
+def lemma_join(spark, sf):
+    docs, forms = _cleaned_docs(spark, sf)
     return lemma.lemmatise(docs, ["lemmatised"], forms)
 
 
 def lemma_unknown(spark, sf):
     """As ``lemma_join``, with a part of the words left out of the dictionary: their endings decide."""
-    docs = fx.dealt(spark, sf, "documents", "doc_id").select(
-        F.col("doc_id").alias("row_id"), text.clean_text(F.col("text")).alias("lemmatised")
-    )
-    forms = fx.lemma_table(docs.select(F.explode(F.split("lemmatised", " ", -1))))
+    docs, forms = _cleaned_docs(spark, sf)
     return lemma.lemmatise(docs, ["lemmatised"], forms.where(~fx.left_out(F.col("word"))))
 
 

@@ -68,7 +68,8 @@ def lemmatise(
     """
     marker = f" {FIELD_END} "
     packed = rows.select(key, F.concat_ws(marker, *columns).alias("all"))
-    occurring = packed.select(F.explode(F.split("all", " ", -1)).alias("word")).distinct()
+    # Written, so that joins meet the distinct words: unwritten, a semi-join would be pushed below ``distinct`` to every word.
+    occurring = write_through(packed.select(F.explode(F.split("all", " ", -1)).alias("word")).distinct(), "lemma-occurring")
     dictionary = lemmas.select("word", "lemma").dropDuplicates(["word"])
     forms = dictionary.where("word != lemma").join(occurring, "word", "left_semi")
     if predict:

@@ -101,3 +101,14 @@ def test_parts_follow_the_size_of_the_files(spark):
     assert fx.n_parts(rows) == max(cores, -(-size // fx.PART_BYTES))
     assert fx.n_parts(rows, 1000) == -(-size // 1000) > cores
     assert fx.dealt(spark, SF, "documents", "doc_id").rdd.getNumPartitions() == fx.n_parts(rows)
+
+
+def test_only_distinct_words_meet_the_dictionary(spark, cleaned, monkeypatch):
+    """No written table of the lemma join is made from all words: each explodes the texts at most to count them."""
+    plans = {}
+    write = lemma.write_through
+    monkeypatch.setattr(lemma, "write_through", lambda df, name: plans.update({name: plan_of(df)}) or write(df, name))
+    forms = session.write_through(fx.lemma_table(cleaned.select(F.explode(F.split("t", " ", -1)))), "forms")
+    lemma.lemmatise(cleaned, ["t"], forms)
+    assert "Generate" in plans["lemma-occurring"]
+    assert "Generate" not in plans["lemma-forms"] and "Generate" not in plans["lemma-unknown"]
