@@ -198,3 +198,24 @@ def test_unlabelled_training_rows_are_refused(spark):
     rows = spark.createDataFrame([(1, 5, None)], "row_id long, category_id long, department_id long")
     with pytest.raises(ValueError, match="1 training rows"):
         neighbours.build_index(spark.createDataFrame([(1, [1], [1.0])], VECTOR), rows)
+
+
+def test_vector_lengths_are_added_up_in_one_pass(spark):
+    rng = np.random.default_rng(4)
+    packed = [(7, [1, 4, 9], [0.6, 0.0, 0.8]), (8, [], []), (9, [3], [1.0]), (10, None, None)]
+    n = 60_000
+    packed.append((11, list(range(n)), rng.random(n).tolist()))
+    df = spark.createDataFrame(packed, "row_id long, indices array<int>, weights array<double>")
+    found = neighbours._with_rest(df)
+    assert "aggregate(" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.orderBy("row_id", "idx").toPandas().itertuples(index=False):
+        got.setdefault(r.row_id, []).append((r.idx, r.weight, r.rest, r.upto))
+    assert set(got) == {7, 9, 11}
+    for row, indices, weights in packed:
+        if row not in got:
+            continue
+        tails = np.append(np.cumsum(np.square(weights)[::-1])[::-1], 0.0)
+        assert [x[0] for x in got[row]] == indices and [x[1] for x in got[row]] == weights
+        assert np.allclose([x[2] for x in got[row]], np.sqrt(tails[1:]), atol=1e-12)
+        assert np.allclose([x[3] for x in got[row]], np.sqrt(tails[:-1]), atol=1e-12)
