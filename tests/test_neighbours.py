@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfmark.operators import neighbours, prior
@@ -219,3 +220,44 @@ def test_vector_lengths_are_added_up_in_one_pass(spark):
         assert [x[0] for x in got[row]] == indices and [x[1] for x in got[row]] == weights
         assert np.allclose([x[2] for x in got[row]], np.sqrt(tails[1:]), atol=1e-12)
         assert np.allclose([x[3] for x in got[row]], np.sqrt(tails[:-1]), atol=1e-12)
+
+
+def batch_of(rng, ids, n_terms, **columns):
+    vectors = [unit(range(n_terms), rng.random(n_terms) + 0.05) for _ in ids]
+    return pa.table({**columns, "indices": pa.array([v[0] for v in vectors], pa.list_(pa.int32())), "weights": pa.array([v[1] for v in vectors])})
+
+
+def test_terms_of_most_pairs_are_not_added_up_pair_by_pair(monkeypatch):
+    """Where every pair shares every term, no sum is formed term by term; the answers are those of all products."""
+    rng, n_terms = np.random.default_rng(5), 64
+    visitors = batch_of(rng, range(50), n_terms, q=pa.array(range(50)), goal=pa.array([0.9] * 50))
+    labels = {c: pa.array(range(400)) for c in ("row_id", "department_id", "category_id")}
+    rows = batch_of(rng, range(400), n_terms, **labels)
+    summed, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: summed.append(len(x)) or plain(x, *a, **k))
+    got = neighbours._search_task()((), visitors, rows)
+    assert sum(summed) == 0
+    cosine = np.array(visitors["weights"].to_pylist()) @ np.array(rows["weights"].to_pylist()).T
+    want = {(int(q), int(t)): cosine[q, t] for q, t in zip(*np.nonzero(cosine >= 0.9))}
+    found = {(q, t): c for q, t, c in zip(*(got[n].to_pylist() for n in ("q", "row_id", "cosine")))}
+    assert found.keys() == want.keys() and all(abs(found[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_a_weight_that_is_no_number_meets_its_own_term_only():
+    one = {c: pa.array([7]) for c in ("row_id", "department_id", "category_id")}
+    rows = pa.table({**one, "indices": pa.array([[1]], pa.list_(pa.int32())), "weights": pa.array([[1.0]])})
+    visitors = pa.table({"q": [3], "goal": [0.5], "indices": pa.array([[0, 1]], pa.list_(pa.int32())), "weights": pa.array([[float("nan"), 1.0]])})
+    assert neighbours._search_task()((), visitors, rows)["row_id"].to_pylist() == [7]
+
+
+@pytest.mark.parametrize("share, cells", [(0.0, 10**6), (0.1, 900), (2.0, 10**6)])
+def test_matrix_part_equals_brute_force(spark, monkeypatch, share, cells):
+    """All terms, some terms and no term in the product of matrices."""
+    monkeypatch.setattr(neighbours, "DENSE_SHARE", share)
+    monkeypatch.setattr(neighbours, "DENSE_CELLS", cells)
+    rng = np.random.default_rng(11)
+    train = random_vectors(rng, range(200), 60, 12)
+    labels = {t: (int(rng.integers(100, 120)), int(rng.integers(1, 4))) for t, _, _ in train}
+    queries = random_vectors(rng, range(1000, 1040), 60, 12)
+    p = softmax_rows(rng, [q[0] for q in queries])
+    assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 60)
