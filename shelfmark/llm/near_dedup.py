@@ -233,27 +233,42 @@ def _in_groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` (key, vertex, n) of the buckets whose vertices aren't known to be connected, with ``component``.
+    """``members`` (vertex, n, keys) with their ``component`` and those of their buckets that aren't known to be connected.
 
-    A vertex goes by the smallest one it is linked to: equal names are connected, different ones may be.
+    A vertex goes by the smallest one it is linked to: equal names are connected, different ones may be.  It is
+    named once, not once per bucket.
     """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     named = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("vertex"), F.least("a", "least").alias("component"))
     named = broadcast_if_small(write_through(named, "near-named"), BROADCAST_BYTES)
-    labelled = members.join(named, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return write_through(labelled.join(open_, "key", "left_semi"), "near-open")
+    labelled = members.select("vertex", "n", "keys").join(named, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    placed = _by_key(write_through(labelled, "near-labelled"))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return write_through(_by_vertex(placed.join(open_, "key", "left_semi"), "component"), "near-open")
+
+
+def _by_key(members: DataFrame) -> DataFrame:
+    return members.withColumn("key", F.explode("keys")).drop("keys")
+
+
+def _by_vertex(members: DataFrame, *keep: str) -> DataFrame:
+    """One row per vertex; a vertex has as many keys as there are bands at most."""
+    return members.groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("n", *keep)], F.collect_list("key").alias("keys"))
 
 
 def _large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the buckets of large clusters; ``members`` is (key, vertex, n)."""
     links = None
-    open_ = members.withColumn("component", F.col("vertex"))
+    open_ = write_through(_by_vertex(members).withColumn("component", F.col("vertex")), "near-open")
+    # Every round reads the sets of these vertices only.
+    own = broadcast_if_small(open_.select("vertex"), BROADCAST_BYTES)
+    sets = write_through(sets.join(own, "vertex", "left_semi"), "near-large-sets")
     for round_ in range(ROUNDS):
         order = F.col("vertex") if not round_ else F.xxhash64("vertex", F.lit(round_))
-        centres = open_.groupBy("key").agg(F.min_by(F.struct("vertex", "component"), order).alias("centre"))
+        placed = _by_key(open_)
+        centres = placed.groupBy("key").agg(F.min_by(F.struct("vertex", "component"), order).alias("centre"))
         # Each pair once, however many buckets it shares.
-        pairs = open_.join(centres, "key").where("component != centre.component").select(
+        pairs = placed.join(centres, "key").where("component != centre.component").select(
             F.least("vertex", "centre.vertex").alias("a"), F.greatest("vertex", "centre.vertex").alias("b")
         )
         pairs = broadcast_if_small(write_through(pairs.distinct(), "near-pairs"), BROADCAST_BYTES)
@@ -262,11 +277,12 @@ def _large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         )
         found = bounded_batches(both.select("a", "b", "shingles", "other_shingles")).mapInArrow(_compare(percent), "a long, b long")
         links = write_through(found if links is None else links.unionByName(found), "near-links")
-        open_ = _labelled(open_.select("key", "vertex", "n"), links)
+        open_ = _labelled(open_, links)
         if open_.isEmpty():
             return links
     # What is left: pairs of blocks of a bucket, cut by members and by shingles.
     cut = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / CELL)).cast("int").alias("blocks")
+    open_ = _by_key(open_)
     placed = open_.join(open_.groupBy("key").agg(cut), "key").withColumn("block", F.expr("cast(pmod(xxhash64(vertex), blocks) as int)"))
     tasks = placed.select("key", "vertex", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("mate")).select(
         "key", "vertex", F.concat_ws("-", F.least("block", "mate"), F.greatest("block", "mate")).alias("part")

@@ -163,3 +163,11 @@ def test_stage_decides_by_row(spark):
     assert len([x for x in left if x[0] == 9]) == 1
     want = [(1, near[0]), (5, own[0]), (5, own[1]), (6, own[2]), (10, None), (10, ""), (None, own[0]), (None, own[0])]
     assert plain(x for x in left if x[0] != 9) == plain(want)
+
+
+def test_vertices_of_large_clusters_are_named_once(spark):
+    """One row per vertex with its open buckets: no row per vertex and bucket meets the names."""
+    members = spark.createDataFrame([(1, 5, [7, 8]), (2, 5, [7, 8, 9]), (3, 5, [9])], "vertex long, n long, keys array<long>")
+    links = spark.createDataFrame([(1, 2)], "a long, b long")
+    got = {r["vertex"]: (r["component"], sorted(r["keys"])) for r in near_dedup._labelled(members, links).collect()}
+    assert got == {2: (1, [9]), 3: (3, [9])}
