@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import tokens
 from shelfmark.operators import features
 from shelfmark.operators.features import Block
+from shelfmark.session import write_through
 
 WORDS = Block("w", "words", 1, 2, 6)
 CHARS = Block("c", "chars", 3, 5, 50, min_df=2, characters=True)
@@ -222,3 +223,18 @@ def test_unproven_candidates_are_counted_by_hash_alone(spark, monkeypatch):
     monkeypatch.setattr(features, "_counted_terms", lambda blocks, candidates=None: lookups.append(candidates) or cut(blocks, candidates))
     features.candidate_counts(df, [block], capacity=5)
     assert lookups and all(c is not None and len(c.value["w"]) < 100 for c in lookups)
+
+
+def test_kept_columns_stay_beside_their_vector(spark):
+    """No exchange of vectors; where ids repeat, as a join by id gives them."""
+    block = features.Block("w", "text", 1, 1, 50)
+    df = write_through(spark.createDataFrame([(1, "a b", 10), (2, "b c", 20), (3, "zz", 30)], "row_id long, text string, d long"), "docs")
+    vocab = features.fit(df.where("row_id < 3"), [block])
+    kept = features.vectors(df, vocab, [block], "d")
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    both = df.unionByName(spark.createDataFrame([(1, "c", 11)], df.schema))
+    for rows in (df, both):
+        for limit in (1 << 26, 0):
+            want = features.vectors(rows, vocab, [block]).join(rows.select("row_id", "d"), "row_id").select("row_id", "d", "indices", "weights")
+            got = features.vectors(rows, vocab, [block], "d", limit=limit)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
