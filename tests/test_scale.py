@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from checks import fixtures as fx
+from checks import fixtures as fx, queries as checked
 from shelfmark import session
 from shelfmark.functions import text
 from shelfmark.operators import features, lemma, prepare
@@ -94,6 +94,29 @@ def test_texts_of_one_language_are_not_one_task(spark):
     assert "BroadcastHashJoin" in plan and not [x for x in texts if "SortMergeJoin" in x]
 
 
+@pytest.fixture
+def one_language(spark, tmp_path):
+    """Documents of which 95 % are in one language; no table is small enough to be broadcast by itself."""
+    rows = [(i, f"text {i} of a few words", "en" if i % 20 else "de", f"source {i % 5}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield str(tmp_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def most_rows_of_a_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_dedup_first_gives_no_task_a_language(spark, one_language, monkeypatch):
+    seen, drop = [], prepare.drop_duplicates
+    monkeypatch.setattr(prepare, "drop_duplicates", lambda offers: seen.append(offers) or drop(offers))
+    assert checked.dedup_first(spark, one_language).count() == 800
+    assert most_rows_of_a_task(seen[0]) < 200
+
+
 def test_parts_follow_the_size_of_the_files(spark):
     rows = fx.table(spark, SF, "documents")
     size = sum(p.stat().st_size for p in [Path(SF, "documents.parquet")])
