@@ -100,10 +100,14 @@ def one_language(spark, tmp_path):
     rows = [(i, f"text {i} of a few words", "en" if i % 20 else "de", f"source {i % 5}") for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # Small partitions aren't put together, as those of a large table wouldn't be.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     yield str(tmp_path)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def most_rows_of_a_task(df):
@@ -117,6 +121,13 @@ def test_dedup_first_gives_no_task_a_language(spark, one_language, monkeypatch):
     assert most_rows_of_a_task(seen[0]) < 200
 
 
+def test_char_wb_ngrams_gives_no_task_a_language(spark, one_language, monkeypatch):
+    seen, count = [], features.corpus_counts
+    monkeypatch.setattr(features, "corpus_counts", lambda docs, blocks: seen.append(docs) or count(docs, blocks))
+    assert checked.char_wb_ngrams(spark, one_language).where("term = ' te'").first()["df"] == 800
+    assert most_rows_of_a_task(seen[0]) < 200
+
+
 def test_parts_follow_the_size_of_the_files(spark):
     rows = fx.table(spark, SF, "documents")
     size = sum(p.stat().st_size for p in [Path(SF, "documents.parquet")])
