@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 
 from shelfmark.operators import neighbours, prior
-from shelfmark.session import write_through
+from shelfmark.session import application_folder, write_through
 
 VECTOR = "row_id long, indices array<int>, weights array<double>"
 DEPARTMENTS = (1, 2, 3)
@@ -261,3 +261,17 @@ def test_matrix_part_equals_brute_force(spark, monkeypatch, share, cells):
     queries = random_vectors(rng, range(1000, 1040), 60, 12)
     p = softmax_rows(rng, [q[0] for q in queries])
     assert run(spark, queries, train, labels, p) == brute(queries, train, labels, p, 60)
+
+
+def test_index_leaves_only_its_own_tables(spark):
+    """Vectors are kept once, not also as they were before equal ones were merged; equal ones count once."""
+    rows = [(i, [i % 5, 7], [0.6, 0.8], i % 4, i % 2) for i in range(40)]
+    train = spark.createDataFrame(rows, "row_id long, indices array<int>, weights array<double>, category_id long, department_id long")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = lambda: {s.getPath().getName() for s in fs.listStatus(folder)}
+    write_through(train, "some")
+    before = tables()
+    index = neighbours.build_index(train.select("row_id", "indices", "weights"), train)
+    assert sorted(t.rsplit("-", 1)[0] for t in tables() - before) == ["knn-bounds", "knn-champions", "knn-first", "knn-rows"]
+    assert sorted(r["row_id"] for r in index.rows.collect()) == list(range(20))
